@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, shards, toxicity, urls, warc
+from . import decontaminate, jaccard, packing, shards, toxicity, urls, warc
 from .base import Scratch
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -46,6 +46,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), n=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = urls.judge(table(spark, sf_dir, "pages"), RULES, Scratch(spark, "op8"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_histogram_sort_shards": op2,
         "op5_decontaminate": op5,
         "op6_warc_shards": op6,
+        "op7_ngram_jaccard_join": op7,
         "op8_url_equivalence": op8,
         "op9_pattern_packing": op9,
         "op10_toxicity": op10,
@@ -100,6 +106,16 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.s AS payload_digest,
        CASE WHEN m IS NOT NULL AND m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN m <> page_id THEN m END AS refers_to
 FROM p LEFT JOIN f ON p.s = f.s AND p.n >= 1000""",
+    "op7_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x{{20}}\\x{{9}}-\\x{{D}}]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+3], ' '))) AS l FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, len(l) AS n, unnest(l) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.t = b.t AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT a, a AS z FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.z = p.a),
+c AS (SELECT a, min(z) AS m FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_shingles, coalesce(m, d.doc_id) AS component_id
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN c ON d.doc_id = c.a""",
     "op8_url_equivalence": """
 WITH RECURSIVE t AS (SELECT page_id, url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
 x AS (SELECT url AS a, replace(coalesce(
