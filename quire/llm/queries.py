@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, packing, shards, toxicity, urls, warc
+from . import brown, decontaminate, jaccard, packing, shards, toxicity, urls, warc
 from .base import Scratch
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -28,6 +28,11 @@ def tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = brown.score(table(spark, sf_dir, "documents"), Scratch(spark, "op1"), train=remainder("doc_id", 7) != 2)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = shards.histogram_sort(docs, Scratch(spark, "op2"), shards=24)
@@ -71,6 +76,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_classes": op1,
         "op2_histogram_sort_shards": op2,
         "op5_decontaminate": op5,
         "op6_warc_shards": op6,
