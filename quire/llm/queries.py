@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, jaccard, packing, shards, toxicity, urls, warc
+from . import brown, decontaminate, jaccard, packing, pivots, shards, toxicity, urls, warc
 from .base import Scratch
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -39,6 +39,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivots.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return pivots.search(vectors, vectors.where("id % 100 = 0"), Scratch(spark, "op3"), k=10)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_brown_classes": op1,
         "op2_histogram_sort_shards": op2,
+        "op3_pivot_topk": op3,
         "op5_decontaminate": op5,
         "op6_warc_shards": op6,
         "op7_ngram_jaccard_join": op7,
@@ -91,6 +97,14 @@ _WORDS5 = r"[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op3_pivot_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op5_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORDS5}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORDS5}') AS w FROM benchmark),
