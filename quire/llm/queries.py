@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, jaccard, packing, pivots, shards, toxicity, urls, warc
+from . import brown, decontaminate, jaccard, licenses, packing, pivots, shards, toxicity, urls, warc
 from .base import Scratch
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -44,6 +44,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(vectors, vectors.where("id % 100 = 0"), Scratch(spark, "op3"), k=10)
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_brown_classes": op1,
         "op2_histogram_sort_shards": op2,
         "op3_pivot_topk": op3,
+        "op4_license_scan": op4,
         "op5_decontaminate": op5,
         "op6_warc_shards": op6,
         "op7_ngram_jaccard_join": op7,
@@ -96,7 +101,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS5 = r"[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES)
+
 SQL = {
+    "op4_license_scan": f"""
+WITH t(license, t) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT license, regexp_extract_all({_LOW.format("t")}, '{_WORDS5}') AS w FROM t),
+tg AS (SELECT license, w, CASE WHEN len(w) <= 5 THEN 0 ELSE CAST(pow(2, greatest(0, ceil(log2((len(w) - 5) / 2)))) AS BIGINT) END AS g FROM tw),
+ts AS (SELECT DISTINCT license, g, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT license, w, g, unnest(generate_series(1, len(w) - 4)) AS i FROM tg)),
+tn AS (SELECT license, g, count(*) AS n FROM ts GROUP BY license, g),
+d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORDS5}') AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS p, len(w) - 4 AS m, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+h AS (SELECT doc_id, license, g, p, m, ts.s FROM ds JOIN ts ON ds.s = ts.s),
+x AS (SELECT doc_id, license, g, m, s, CASE WHEN g = 0 THEN p ELSE unnest(generate_series(greatest(0, p // greatest(g, 1) - 2), p // greatest(g, 1))) * g END AS i FROM h),
+k AS (SELECT doc_id, x.license, i, count(DISTINCT s) AS k FROM x WHERE g = 0 OR i = 0 OR i // greatest(g, 1) <= (m + g - 1) // greatest(g, 1) - 3 GROUP BY doc_id, x.license, i)
+SELECT doc_id, k.license AS license, count(*) AS n_windows, CAST(min(i) AS BIGINT) AS first_word, max(k / n) AS containment
+FROM k JOIN tn ON k.license = tn.license WHERE 100 * k >= 80 * n GROUP BY doc_id, k.license""",
     "op3_pivot_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
