@@ -473,3 +473,78 @@ def url_plausible(t):
 @query(f"SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^A-Za-z0-9_ \\t\\n\\r\\f\\x0B-]', '', 'g'), '^{WS}+|{WS}+$', '', 'g'), '{WS}+', '-', 'g'), 1, 80) AS slug, md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS letters FROM documents")
 def slugs(t):
     return t("documents").select("doc_id", T.slug(F.col("text")).alias("slug"), F.md5(T.title_letters(F.col("text"))).alias("letters"))
+
+
+# Blocks: the lines of a document by turns as headings, quotes, list items, contents, page markers and paragraphs.
+KIND = "CASE (doc_id + line_no) % 7 WHEN 0 THEN 'heading' WHEN 1 THEN 'quote' WHEN 2 THEN 'list' WHEN 3 THEN 'contents' WHEN 4 THEN 'page' ELSE 'paragraph' END"
+
+
+@query(f"""WITH {LINES}, b AS (SELECT doc_id, line_no, line, {KIND} AS kind, CASE WHEN doc_id % 2 = 0 THEN concat('12. ', line) ELSE concat('# ', line) END AS t FROM l),
+m AS (SELECT doc_id, line_no, CASE kind WHEN 'heading' THEN concat('## ', line) WHEN 'quote' THEN concat('> ', regexp_replace(t, '^(#{{1,6}})([ \\t]|$)', '\\\\\\1\\2')) WHEN 'contents' THEN concat('- ', line, ' — ', line_no)
+ WHEN 'page' THEN concat('%%page ', line_no, CASE WHEN line_no % 2 = 0 THEN concat('#', 2) ELSE '' END, '%%') WHEN 'list' THEN concat('> - ', line, chr(10), '> - ', 'end')
+ ELSE regexp_replace(regexp_replace(t, '^(#{{1,6}})([ \\t]|$)', '\\\\\\1\\2'), '^(\\d+)([.)])', '\\1\\\\\\2') END AS md FROM b)
+SELECT doc_id, concat(rtrim(regexp_replace(concat('---', chr(10), 'source: "', d.source, '"', chr(10), 'pages: ', doc_id % 9, chr(10), '---', chr(10), chr(10), x.md), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), chr(10) || ' '), chr(10)) AS markdown
+FROM documents d JOIN (SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY line_no) AS md FROM m GROUP BY doc_id) x USING (doc_id)""")
+def blocks_markdown(t):
+    from quire.operators import blocks
+
+    at = doc_lines(t).withColumn("kind", F.expr(KIND)).withColumn("t", F.expr("CASE WHEN doc_id % 2 = 0 THEN concat('12. ', line) ELSE concat('# ', line) END"))
+    text = F.when(F.col("kind").isin("heading", "contents"), F.col("line")).otherwise(F.col("t"))
+    md = blocks.block_markdown(F.col("kind"), text, F.array("line", F.lit("end")), F.lit(2), F.col("line_no").cast("string"), F.when(F.col("line_no") % 2 == 0, 2), F.lit(True), F.lit(True), escape_hash=True)
+    body = blocks.joined(at.select("doc_id", "line_no", md.alias("md")), "doc_id", "line_no", "md")
+    head = blocks.front_matter({"source": F.col("source"), "pages": F.col("doc_id") % 9, "none": F.lit(None).cast("string")}, {"pages"})
+    return t("documents").select("doc_id", "source").join(body, "doc_id").select("doc_id", blocks.document(head, F.col("md"), F.lit(None).cast("string")).alias("markdown"))
+
+
+@query("""WITH n AS (SELECT conv_id, turn, CAST(turn // 2 AS VARCHAR) AS label, role AS text, turn % 5 = 3 AS restart FROM conversations),
+s AS (SELECT *, CASE WHEN lag(label) OVER w IS NOT DISTINCT FROM label AND NOT restart AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS nw, lag(text) OVER w AS before FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, sum(nw) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM s)
+SELECT conv_id, min(turn) AS turn, first(label) AS label, string_agg(text, ' ' ORDER BY turn) FILTER (nw = 1 OR before IS DISTINCT FROM text) AS text FROM r GROUP BY conv_id, run""")
+def endnotes_merged(t):
+    from quire.operators import blocks
+
+    at = t("conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).cast("string").alias("label"), F.col("role").alias("text"), (F.col("turn") % 5 == 3).alias("restart"))
+    return blocks.merged_notes(at, "conv_id", "turn")
+
+
+def numbered_pages(t) -> DataFrame:
+    return t("documents").select("doc_id", F.expr("CASE doc_id % 6 WHEN 0 THEN concat(text, '\n\n', doc_id % 300) WHEN 1 THEN concat('  ', doc_id % 300, '\n', text) WHEN 2 THEN concat(text, '\n xiv \n') WHEN 3 THEN concat(text, '\nB   ', doc_id % 300) WHEN 4 THEN concat(text, '\n(', doc_id % 300, ')') ELSE text END").alias("text"))
+
+
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1, 3, 4) THEN CAST(doc_id % 300 AS INTEGER) END AS printed, CASE WHEN doc_id % 6 = 2 THEN 'xiv' END AS roman,
+ CASE doc_id % 6 WHEN 0 THEN text || chr(10) WHEN 2 THEN text || chr(10) ELSE text END AS body FROM documents) SELECT doc_id, printed, roman, md5(body) AS body FROM p""")
+def folios_taken(t):
+    from quire.operators import pages
+
+    return pages.folios(numbered_pages(t), "doc_id", paren=True, roman=True).withColumn("body", F.md5("body"))
+
+
+@query()
+def page_gutters(t):
+    from quire.operators import pages
+
+    rows = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.rpad(F.substring("text", i * 25 + 1, 25), 26, " "), F.lit("    "), F.substring("text", i * 25 + 300, 25)))
+    flat = t("documents").withColumn("text", F.translate("text", "\n ", "__")).where("length(text) > 700")
+    return pages.gutters(flat.select("doc_id", F.array_join(rows, "\n").alias("text")), "doc_id")
+
+
+@query()
+def single_spacing(t):
+    from quire.operators import pages
+
+    return t("documents").select("doc_id", F.md5(pages.single_spaced(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("text"))
+
+
+@query()
+def redaction_labels(t):
+    from quire.operators import pages
+
+    at = doc_lines(t).withColumn("line", F.expr("CASE line_no % 3 WHEN 0 THEN concat(line, ' (b)(6) , (b)(7)(C) end') WHEN 1 THEN '  (b)(1) ' ELSE line END"))
+    return at.select("doc_id", "line_no", pages.redacted(F.col("line")).alias("line"), F.array_join(pages.exemption_codes(F.col("line")), ";").alias("codes")).where("line is not null")
+
+
+@query()
+def publish_batches(t):
+    from quire.operators import pages
+
+    return pages.batches(t("documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes")), "source", "doc_id", "bytes", 20_000)

@@ -112,3 +112,33 @@ def test_folds_over_empty_tables(spark):
     assert folios.strays(empty, "source").count() == 0
     assert folios.fill_gaps(empty, "source").count() == 0
     assert idents.paragraph_ids(spark.createDataFrame([], "d long, o int, t string"), "d", "o", "t").count() == 0
+
+
+def test_pages():
+    from quire.operators import pages
+
+    assert pages.take_folio(["a", "b", "", " 12 ", ""]) == (12, None, ["a", "b", "", ""])
+    assert pages.take_folio(["", "7", "a"]) == (7, None, ["", "a"])
+    assert pages.take_folio(["a", "12", "", "C"]) == (12, None, ["a", ""])
+    assert pages.take_folio(["a", "C    12"]) == (12, None, ["a"])
+    assert pages.take_folio(["a", "(3)"]) == (None, None, ["a", "(3)"]) and pages.take_folio(["a", "(3)"], paren=True)[0] == 3
+    assert pages.take_folio(["a", "ix  ix"], roman=True) == (None, "ix", ["a"])
+    assert pages.take_folio(["a", "iiii"], roman=True)[1] is None
+    assert pages.take_folio([]) == (None, None, [])
+    two = ["left column of text      right column of text"] * 9
+    assert pages.gutter(two) is not None and two[0][slice(*pages.gutter(two))].strip() in ("", "t", "r", "t      r")
+    assert pages.gutter(["one line of plain text that fills the width of the page"] * 20) is None and pages.gutter([]) is None
+
+
+def test_columns_over_pages(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import pages
+
+    df = spark.createDataFrame([("a\n\nb\n\nc\n\n\n\nd\n\ne",), ("a\nb\nc\nd",), (None,)], "t string")
+    assert [r[0] for r in df.select(pages.single_spaced(F.col("t"))).collect()] == ["a\nb\nc\n\nd\ne", "a\nb\nc\nd", None]
+    df = spark.createDataFrame([("x (b)(6), (b)(7)(C) y",), (" (b)(3) ",), ("none",)], "t string")
+    assert [r[0] for r in df.select(pages.redacted(F.col("t"))).collect()] == ["x [Redacted: (b) (6), (b) (7)(C)] y", None, "none"]
+    assert df.select(pages.exemption_codes(F.col("t")).alias("c")).first()["c"] == ["(b) (6)", "(b) (7)(C)"]
+    files = spark.createDataFrame([("k", i, n) for i, n in enumerate([5, 5, 9, 30, 1])], "k string, o long, n long")
+    assert [r["batch"] for r in pages.batches(files, "k", "o", "n", 10).orderBy("o").collect()] == [0, 0, 1, 2, 3]
