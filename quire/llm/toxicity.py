@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +17,22 @@ from . import tokens
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Labelled texts of each class that the models are fitted on, at most.
-MOST = 4000
+MOST = 2000
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, label: str, most: int) -> tuple[list[str], np.ndarray, float]:
-    """At most ``most`` labelled texts of each class, those with the smallest hash of the id, and the share of toxic ones among all labelled.
+def sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, label: str, most: int) -> tuple[DataFrame, float]:
+    """Rows (h, t, y) of at most ``most`` labelled ids of each class, those with the smallest hash of the id, and the share of toxic ones among all labelled.
 
     This bounds all that the models hold. Rows of labels with another value than
     0 or 1 are left out, and so are ids labelled both ways; null texts are empty.
     """
     mine = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("_id")).agg(F.min(label).alias("y"), F.max(label).alias("hi")).where("y = hi").select("_id", "y")
     share = mine.agg(F.avg("y")).first()[0]
-    texts: list[str] = []
-    ys: list[int] = []
-    for y in (0, 1):
-        # Ids are chosen first, so texts of the chosen alone are dealt out.
-        ids = mine.where(F.col("y") == y).join(docs.select(F.col(ident).alias("_id")), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(most)
-        rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(ids.select("_id")), "_id", "left_semi")
-        got = sorted((r["_id"], r["t"]) for r in rows.toLocalIterator())
-        texts += [t for _, t in got][: 4 * most]
-        ys += [y] * len(got[: 4 * most])
-    return texts, np.array(ys, dtype=np.int64), float(share if share is not None else 0.0)
+    there = mine.join(docs.select(F.col(ident).alias("_id")), "_id", "left_semi")
+    # Ids are chosen first, so texts of the chosen alone are dealt out.
+    ids = [there.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
+    rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(ids[0].unionByName(ids[1])), "_id")
+    return rows.select(F.xxhash64("_id").alias("h"), "t", "y"), float(share if share is not None else 0.0)
 
 
 class Table:
@@ -75,22 +71,28 @@ def stream(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield first, last, tokens.hashes(starts, ends, low) | np.uint64(1), before
 
 
-def pair_keys(h: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Key of each word with the word before it; the first word of a text has the text's start before it."""
-    prev = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
-    heads = before[:-1][np.diff(before) > 0]
-    prev[heads] = 0
+def before_of(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The word before each word; 0 at the start of a text."""
+    prev = np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
+    prev[before[:-1][np.diff(before) > 0]] = 0
+    return prev
+
+
+def pair_keys(h: np.ndarray, prev: np.ndarray) -> np.ndarray:
+    """Key of each word with the word before it."""
     return tokens.mix(prev * np.uint64(0x9E3779B97F4A7C15) + h) | np.uint64(1)
 
 
-def _contexts(keys: np.ndarray, context: np.ndarray, ys: np.ndarray, size: int, row: np.ndarray) -> np.ndarray:
-    """For both classes, in how many different contexts each of ``size`` rows stands."""
-    out = np.zeros((2, size))
+def _contexts(keys: np.ndarray, context: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and for both classes in how many different contexts each stands."""
+    both = np.unique(keys)
+    out = np.zeros((2, len(both)))
     for k in (0, 1):
         at = np.flatnonzero(ys == k)
-        _, first = np.unique(tokens.mix(keys[at] ^ tokens.mix(context[at] + np.uint64(k + 1))), return_index=True)
-        out[k] = np.bincount(row[at[first]], minlength=size)
-    return out
+        _, first = np.unique(tokens.mix(keys[at] ^ tokens.mix(context[at])), return_index=True)
+        u, n = np.unique(keys[at[first]], return_counts=True)
+        out[k, np.searchsorted(both, u)] = n
+    return both, out
 
 
 def _differs(n: np.ndarray, total: np.ndarray, least: float, times: float = 3.0) -> np.ndarray:
@@ -110,67 +112,64 @@ class Models:
     stand before it; of a word, how many different words stand before it. Copies
     of a passage therefore count once. P(w | v, class) discounts the pair's
     counts and backs off to P(w | class), which discounts the word's counts and
-    backs off to an even share. Counts of expressions whose use does not differ
-    between the classes by more than chance (all rare ones, above all) are
-    shared: both models take the pooled counts, in proportion, and so agree.
+    backs off to counts that both classes share. Expressions whose use does not
+    differ between the classes by more than chance (all rare ones, above all)
+    have no counts of their own but the shared ones, so both models agree on
+    them but for a constant, and only the ratios of the others are kept.
     """
 
     def __init__(self, texts: list[str], ys: np.ndarray, discount: float = 0.75, least: float = 20.0):
-        hs, ps, owner, heads = [], [], [], []
+        hs, prevs, owner = [], [], []
         for first, last, h, b in stream(pa.array(texts, pa.string())):
             hs.append(h)
-            ps.append(pair_keys(h, b))
-            owner.append(np.repeat(ys[first:last], np.diff(b)))
-            begin = np.zeros(len(h), bool)
-            begin[b[:-1][np.diff(b) > 0]] = True
-            heads.append(begin)
-        h, p, y, begin = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hs, np.uint64), (ps, np.uint64), (owner, np.int64), (heads, bool)))
-        back = lambda x, n: np.concatenate([np.zeros(min(n, len(x)), x.dtype), x[:-n]])
-        prev = np.where(begin, np.uint64(0), back(h, 1))
-        prev2 = np.where(begin | back(begin, 1), np.uint64(0), back(h, 2))
-        words, w = np.unique(h, return_inverse=True)
-        pairs, at, q = np.unique(p, return_index=True, return_inverse=True)
-        uni = _contexts(h, prev, y, len(words), w)
-        two = _contexts(p, prev2, y, len(pairs), q)
-        total = np.maximum(uni.sum(1), 1.0)
-        plain = np.zeros((2, len(words) + 1))
-        plain[:, 1:] = uni
+            prevs.append(before_of(h, b))
+            owner.append(np.repeat(ys[first:last].astype(np.int8), np.diff(b)))
+        h, prev, y = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hs, np.uint64), (prevs, np.uint64), (owner, np.int8)))
+        del hs, prevs, owner
+        words, uni = _contexts(h, prev, y)
         apart = _differs(uni, uni.sum(1), least)
-        pooled = uni.sum(0) / total.sum()
-        shared = np.where(apart, uni, pooled * total[:, None])
-        total = np.maximum(shared.sum(1, keepdims=True), 1.0)
-        kept = np.maximum(shared - discount, 0)
-        even = (total - kept.sum(1, keepdims=True)) / total / (len(words) + 1)
-        self.word = np.concatenate([even, kept / total + even], axis=1)
-        self.words = Table(words)
-        # Only pairs that differ between the classes have counts of their own; all others back off, alike in both.
+        total = np.maximum(uni.sum(1), 1.0)
+        own = np.maximum(uni[:, apart] - discount, 0.01) / total[:, None]
+        # What the words of their own leave is dealt to all others in one pooled proportion, so there the classes differ by a constant.
+        self.words = Table(words[apart])
+        self.word = np.log(np.concatenate([1 - np.minimum(own.sum(1, keepdims=True), 0.99), own], axis=1))
+        self.word = self.word[1] - self.word[0]
+        pairs = pair_keys(h, prev)
+        two_before = np.where(prev == 0, np.uint64(0), np.concatenate([prev[:1], prev[:-1]]))
+        keys, two = _contexts(pairs, two_before, y)
         own = _differs(two, two.sum(1), least)
-        before = self.words.rows(prev[at[own]])
-        self.pairs = Table(pairs[own])
-        n = np.zeros((2, len(words) + 1))
-        rows = self.words.rows(prev[at])
-        for k in (0, 1):
-            n[k] = np.bincount(rows, weights=two[k], minlength=len(words) + 1)
-        have = two[:, own]
-        mass = np.maximum(have - discount, 0) / np.maximum(n[:, before], 1.0)
-        taken = np.stack([np.bincount(before, weights=mass[k], minlength=len(words) + 1) for k in (0, 1)])
-        self.rest = 1.0 - np.minimum(taken, 0.999)
-        self.pair = np.concatenate([np.zeros((2, 1)), mass], axis=1)
+        some, n = keys[own], two[:, own]
+        first = np.full(len(some), np.uint64(0))
+        second = first.copy()
+        at = np.searchsorted(some, pairs)
+        hit = np.flatnonzero(some[np.minimum(at, max(0, len(some) - 1))] == pairs) if len(some) else np.zeros(0, np.int64)
+        first[at[hit]], second[at[hit]] = prev[hit], h[hit]
+        del pairs, two_before, keys, two
+        follow = np.ones((2, len(some)))
+        for v in np.unique(first):
+            follow[:, first == v] = np.maximum(np.bincount(y[prev == v], minlength=2)[:2], 1)[:, None]
+        # Of a pair, the discounted share of what follows its first word, and what is left backs off to the second word's.
+        share = np.maximum(n - discount, 0) / follow
+        back = np.exp(self.word[self.words.rows(second)])
+        base = 0.5 / np.maximum(follow.sum(0), 1.0)
+        self.pairs = Table(some)
+        ratio = (share[1] + base * back) / (share[0] + base)
+        self.pair = np.concatenate([[0.0], np.log(ratio)])
         self.curve = (0.0, -1.0)
 
-    def differences(self, h: np.ndarray, p: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) for each word of a run of texts."""
-        w, q = self.words.rows(h), self.pairs.rows(p)
-        v = np.concatenate([[0], w[:-1]]) if len(w) else w
-        v[before[:-1][np.diff(before) > 0]] = 0
-        a, b = (self.pair[k][q] + self.rest[k][v] * self.word[k][w] for k in (0, 1))
-        return np.log(b / a)
+    def differences(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) for each word of a run of texts: the pair's where it has counts of its own, else the word's."""
+        word = self.word[self.words.rows(h)]
+        if len(self.pair) == 1:
+            return word
+        q = self.pairs.rows(pair_keys(h, before_of(h, before)))
+        return np.where(q > 0, self.pair[q], word)
 
     def means(self, texts: pa.Array) -> np.ndarray:
         """Log-likelihood of each text under the toxic model less that under the ordinary one, each divided by the number of words; 0 without words."""
         out = np.zeros(len(texts))
         for first, last, h, b in stream(texts):
-            d = np.concatenate([[0.0], np.cumsum(self.differences(h, pair_keys(h, b), b))])
+            d = np.concatenate([[0.0], np.cumsum(self.differences(h, b))])
             out[first:last] = (d[b[1:]] - d[b[:-1]]) / np.maximum(np.diff(b), 1)
         return out
 
@@ -240,5 +239,19 @@ def scores(docs: DataFrame, model: Models, text: str = "text", keep: tuple[str,
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "toxic", most: int = MOST) -> Models:
-    """Models fitted on at most ``most`` labelled texts of each class (documented bound; chosen by hash of the id, alike at every size)."""
-    return fit(*sample(docs, labels, text, ident, label, most))
+    """Models fitted on at most ``most`` labelled texts of each class (documented bound; chosen by hash of the id, alike at every size).
+
+    One task fits them, as the sample is bounded; the driver gets the model,
+    which holds only expressions that differ between the classes.
+    """
+    rows, share = sample(docs, labels, text, ident, label, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        got = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("t", "ascending")]) if parts else None
+        got = got.slice(0, 8 * most) if got else None
+        model = fit(got["t"].to_pylist() if got else [], got["y"].to_numpy().astype(np.int64) if got else np.zeros(0, np.int64), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([], np.zeros(0, np.int64), share)
