@@ -15,9 +15,9 @@ from .base import Scratch, partitions_of, release
 from .jaccard import planes, runs, unplanes
 
 #: Bytes of text in a block, the unit that a task holds at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Distinct words that one bucket is to have, about.
-BUCKET = 1 << 18
+BUCKET = 1 << 16
 #: Stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -128,31 +128,29 @@ def observe(enc: DataFrame, replies: DataFrame | None, seeds: dict[int, int], k:
     replied = replies is not None
 
     def see(block: int, words: np.ndarray, stream: np.ndarray, in_train: np.ndarray, classes: np.ndarray, order: np.ndarray) -> Iterator[tuple]:
-        s = stream[in_train]
-        if not len(s):
-            return
-        end = np.flatnonzero(words == END)[0]
-        s = np.concatenate([[end], s])
-        cls = classes[s]
-        yield (-1, block, None, planes(np.bincount(cls[:-1] * k + cls[1:], minlength=k * k)), None, None, None)
-        place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        at = place[s]
-        key = np.concatenate([at[:-1] * (2 * k) + cls[1:], at[1:] * (2 * k) + k + cls[:-1]])
-        key, n = np.unique(key, return_counts=True)
-        w, tag = key // (2 * k), (key % (2 * k)).astype(np.uint8)
         u = words[order]
-        here, per = np.unique(w, return_counts=True)
+        per, tag, n = np.zeros(len(u), np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        s = stream[in_train]
+        if len(s):
+            s = np.concatenate([np.flatnonzero(words == END)[:1].astype(s.dtype), s])
+            cls = classes[s]
+            yield (-1, block, None, planes(np.bincount(cls[:-1] * k + cls[1:], minlength=k * k)), None, None, None)
+            place = np.empty(len(words), np.int64 if len(words) * 2 * k >= 1 << 31 else np.int32)
+            place[order] = np.arange(len(words))
+            at = place[s]
+            key, n = np.unique(np.concatenate([at[:-1] * (2 * k) + cls[1:], at[1:] * (2 * k) + k + cls[:-1]]), return_counts=True)
+            tag = (key % (2 * k)).astype(np.uint8)
+            per = np.bincount(key // (2 * k), minlength=len(u))
         first = np.concatenate([[0], np.cumsum(per)])
-        for j, a, b in buckets.cut(u[here]):
+        for j, a, b in buckets.cut(u):  # words that training texts here lack are asked for as well
             x, y = first[a], first[b]
-            yield (j, block, planes(np.diff(u[here[a:b]], prepend=buckets.bounds[j])), None, planes(per[a:b]), tag[x:y].tobytes(), planes(n[x:y]))
+            yield (j, block, planes(np.diff(u[a:b], prepend=buckets.bounds[j])), None, planes(per[a:b]), tag[x:y].tobytes(), planes(n[x:y]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, tab in runs(batches, "block"):
             words, _, stream, lengths, train, _, order, classes, _ = _block(tab, replied)
             if classes is None:
-                classes = np.full(len(words), k - 1, np.int64)
+                classes = np.full(len(words), k - 1, np.int32)
                 for h, c in seeds.items():
                     classes[words == np.uint64(h)] = c
             rows = list(see(block, words, stream, np.repeat(train, lengths), classes, order))
@@ -175,13 +173,13 @@ def _block(tab: pa.Table, replied: bool):
     """One block: words, training counts here, stream, lengths, train, ids, order of the words by hash, their classes and training counts everywhere."""
     last = tab.slice(tab.num_rows - 1, 1)
     words = np.frombuffer(last["words"][0].as_py(), "<u8")
-    stream = unplanes(last["stream"][0].as_py()).astype(np.int64)
+    stream = unplanes(last["stream"][0].as_py()).astype(np.int32)
     lengths, train = np.array(last["lengths"][0].as_py(), np.int64), np.array(last["train"][0].as_py(), bool)
     here = unplanes(last["counts"][0].as_py())
     order = np.argsort(words)
     classes = everywhere = None
     if replied:
-        classes, everywhere = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+        classes, everywhere = np.full(len(words), -1, np.int32), np.zeros(len(words), np.int64)
         parts = tab.slice(0, tab.num_rows - 1)
         if parts.num_rows:
             classes[order] = np.concatenate([np.frombuffer(c, np.int16) for c in parts["_classes"].to_pylist()])
@@ -190,7 +188,11 @@ def _block(tab: pa.Table, replied: bool):
 
 
 def exchange(asks: DataFrame, state: DataFrame, pairs: np.ndarray, seeds: dict[int, int] | None, k: int, buckets: Buckets) -> DataFrame:
-    """Moves every word to the class that raises the likelihood of the class pairs most, all other words held where they were.
+    """Moves every word to the class that raises the likelihood of the class pairs most, all other words held where they were, and tells the blocks.
+
+    Rows of block -1 are the new state; others answer a block with the class and
+    training count of the words that it asked for, in the order of their hashes:
+    -1 and 0 for words that no training text has.
 
     pairs: counts of class pairs in all training texts. Words of a bucket are
     weighed at once. Ties go to the smaller class, and a word stays where no move
@@ -201,26 +203,35 @@ def exchange(asks: DataFrame, state: DataFrame, pairs: np.ndarray, seeds: dict[i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for j, tab in runs(batches, "bucket"):
-            own = tab.slice(0, 1)
-            u, c = np.frombuffer(own["_words"][0].as_py(), "<u8"), unplanes(own["_counts"][0].as_py())
+            if tab["block"][0].as_py() < 0:
+                u, c = np.frombuffer(tab["_words"][0].as_py(), "<u8"), unplanes(tab["_counts"][0].as_py())
+            else:  # a bucket of which no training text has a word
+                tab = pa.concat_tables([tab.slice(0, 1), tab])
+                u, c = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             if seeds is not None:
                 cls = np.full(len(u), k - 1, np.int64)
                 for h, x in seeds.items():
                     cls[u == np.uint64(h)] = x
             else:
-                cls = np.frombuffer(own["_classes"][0].as_py(), np.int16).astype(np.int64)
-            key_parts, n_parts = [], []
-            for d, per, tags, ns in zip(tab["deltas"][1:], tab["per"][1:], tab["tags"][1:], tab["ns"][1:], strict=True):
-                w = np.searchsorted(u, _hashes(d, buckets.bounds[j]))
+                cls = np.frombuffer(tab["_classes"][0].as_py() or b"", np.int16).astype(np.int64)
+            key_parts, n_parts, asked = [], [], []
+            for block, d, per, tags, ns in zip(tab["block"][1:], tab["deltas"][1:], tab["per"][1:], tab["tags"][1:], tab["ns"][1:], strict=True):
+                h = _hashes(d, buckets.bounds[j])
+                w = np.minimum(np.searchsorted(u, h), max(0, len(u) - 1))
+                asked.append((block.as_py(), w, u[w] == h if len(u) else np.zeros(len(h), bool)))
                 key_parts.append(np.repeat(w, unplanes(per.as_py()).astype(np.int64)) * (2 * k) + np.frombuffer(tags.as_py(), np.uint8))
                 n_parts.append(unplanes(ns.as_py()))
-            if key_parts:
+            if sum(map(len, key_parts)):
                 key, inverse = np.unique(np.concatenate(key_parts), return_inverse=True)
                 n = np.bincount(inverse, weights=np.concatenate(n_parts).astype(float))
                 new = _moved(key // (2 * k), key % (2 * k), n, cls, len(u))
             else:
                 new = cls
-            yield _batch([(j, -1, u.astype("<u8").tobytes(), planes(c), new.astype(np.int16).tobytes(), len(u), int(c.sum()), None)], STATE)
+            if len(u):
+                yield _batch([(j, -1, u.astype("<u8").tobytes(), planes(c), new.astype(np.int16).tobytes(), len(u), int(c.sum()), None)], STATE)
+            new, c = (new, c) if len(u) else (np.zeros(1, np.int64), np.zeros(1, np.uint64))
+            for i in range(0, len(asked), 64):
+                yield _batch([(j, block, None, planes(np.where(known, c[w], np.uint64(0))), np.where(known, new[w], -1).astype(np.int16).tobytes(), 0, 0, None) for block, w, known in asked[i : i + 64]], STATE)
 
     def _moved(w: np.ndarray, tag: np.ndarray, n: np.ndarray, cls: np.ndarray, size: int) -> np.ndarray:
         after = tag < k
@@ -244,36 +255,6 @@ def exchange(asks: DataFrame, state: DataFrame, pairs: np.ndarray, seeds: dict[i
     return both.repartition(max(2, buckets.n), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, STATE)
 
 
-def reply(enc: DataFrame, state: DataFrame, buckets: Buckets) -> DataFrame:
-    """Tells every block the class and the training count of its words, in the order of their hashes; -1 and 0 for words no training text has."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, words in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                u = np.sort(np.frombuffer(words, "<u8"))
-                if rows := [(j, block, planes(np.diff(u[a:b], prepend=buckets.bounds[j])), None, None, None, None) for j, a, b in buckets.cut(u)]:
-                    yield _batch(rows, ASK)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for j, tab in runs(batches, "bucket"):
-            u, c, cls = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int16)
-            for i in range(tab.num_rows):
-                row = {name: tab[name][i].as_py() for name in ("block", "deltas", "_words", "_counts", "_classes")}
-                if row["block"] < 0:
-                    u, c, cls = np.frombuffer(row["_words"], "<u8"), unplanes(row["_counts"]), np.frombuffer(row["_classes"], np.int16)
-                    continue
-                h = buckets.bounds[j] + np.cumsum(unplanes(row["deltas"]), dtype=np.uint64)
-                at = np.minimum(np.searchsorted(u, h), max(0, len(u) - 1))
-                known = u[at] == h if len(u) else np.zeros(len(h), bool)
-                classes = np.where(known, cls[at] if len(u) else 0, -1).astype(np.int16)
-                counts = np.where(known, c[at] if len(u) else np.uint64(0), np.uint64(0))
-                yield _batch([(j, row["block"], None, planes(counts), classes.tobytes(), 0, 0, None)], STATE)
-
-    rows = state.select("bucket", F.lit(-1).cast("long").alias("block"), F.col("words").alias("_words"), F.col("counts").alias("_counts"), F.col("classes").alias("_classes"))
-    both = rows.unionByName(enc.select("block", "words").mapInArrow(ask, ASK).select("bucket", "block", "deltas"), allowMissingColumns=True)
-    return both.repartition(max(2, buckets.n), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, STATE)
-
-
 def _pairs(asks: DataFrame, k: int) -> np.ndarray:
     """Class pairs of all blocks, added up by Spark; k * k counts come to the driver."""
 
@@ -363,10 +344,10 @@ def score(docs: DataFrame, scratch: Scratch, train: Column, text: str = "text",
         pairs = _pairs(asks, classes)
         if steps:
             steps(k, pairs)
-        state = scratch.keep(exchange(asks, state, pairs, begin, classes, buckets), f"state-{k + 1}")
+        told = scratch.keep(exchange(asks, state, pairs, begin, classes, buckets), f"state-{k + 1}")
         begin = None
-        replies = scratch.keep(reply(enc, state, buckets), f"replies-{k}")
-        scratch.drop(f"asks-{k}", f"state-{k}", *([f"replies-{k - 1}"] if k else []))
+        state, replies = told.where("block < 0"), told.where("block >= 0")
+        scratch.drop(f"asks-{k}", f"state-{k}")
     pairs = _pairs(_seen(enc, replies, classes, parts), classes)
     if steps:
         steps(rounds, pairs)
