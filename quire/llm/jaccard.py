@@ -13,7 +13,7 @@ from . import tokens
 from .base import Scratch, components, partitions_of, release
 
 #: Bytes of text in a block, the unit whose shingles one task holds at a time.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Shingles of all blocks that one task counts at a time.
 BUCKET = 4 << 20
 #: Ranges of the suffix filter.
@@ -113,7 +113,7 @@ class Frequencies:
             at += len(a)
 
 
-def _prefixes(keys: pa.Array, texts: pa.Array, levels: np.ndarray, freq: Frequencies, percent: int) -> pa.RecordBatch:
+def _prefixes(keys: pa.Array, texts: pa.Array, levels: np.ndarray, freq: Frequencies, percent: int) -> Iterator[pa.RecordBatch]:
     """A row for each text: its key, set size, set id and, where others share shingles of its prefix, these and the set.
 
     The prefix of a set of n, in the order of rising frequency and hash, has
@@ -133,8 +133,8 @@ def _prefixes(keys: pa.Array, texts: pa.Array, levels: np.ndarray, freq: Frequen
     offs = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
     sums = [np.concatenate([[np.uint64(0)], np.cumsum(tokens.mix(h ^ np.uint64(x)), dtype=np.uint64)]) for x in (0, 0xA5A5A5A5A5A5A5A5)]
     ids = np.stack([c[before[1:]] - c[before[:-1]] for c in sums], axis=1).astype("<u8").tobytes()
-    raw = h.astype("<u8").tobytes()
-    return pa.RecordBatch.from_arrays(
+    raw = memoryview(h.astype("<u8")).cast("B")
+    whole = pa.RecordBatch.from_arrays(
         [
             keys,
             pa.array(n, pa.int32()),
@@ -145,6 +145,8 @@ def _prefixes(keys: pa.Array, texts: pa.Array, levels: np.ndarray, freq: Frequen
         ],
         ["_key", "n", "set_id", "hashes", "places", "shingles"],
     )
+    for first in range(0, whole.num_rows, 256):
+        yield whole.slice(first, 256)
 
 
 TEXTS = "_key binary, n int, set_id binary, hashes array<long>, places array<int>, shingles binary"
@@ -196,7 +198,7 @@ def prefixes(docs: DataFrame, scratch: Scratch, text: str, n: int, percent: int)
             parts = sorted(zip(replies["bucket"].to_pylist(), replies["levels"].to_pylist(), strict=True))
             levels = np.frombuffer(b"".join(x for _, x in parts), np.uint8)
             keys, texts = distinct(tab.filter(pa.array(is_text)))
-            yield _prefixes(keys, texts, levels, freq, percent)
+            yield from _prefixes(keys, texts, levels, freq, percent)
 
     asked = own.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(ask, "bucket int, block int, deltas binary, counts binary")
     answers = scratch.keep(asked.repartition(max(freq.buckets, 2), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, "block int, bucket int, levels binary"), "answers")
