@@ -13,7 +13,7 @@ from . import tokens
 from .base import Scratch, components, partitions_of, release
 
 #: Bytes of text in a block, the unit whose shingles one task holds at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Shingles of all blocks that one task counts at a time.
 BUCKET = 4 << 20
 #: Ranges of the suffix filter.
