@@ -148,7 +148,7 @@ def observe(enc: DataFrame, replies: DataFrame | None, seeds: dict[int, int], k:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, tab in runs(batches, "block"):
-            words, _, stream, lengths, train, _, order, classes, _ = _block(tab, replied)
+            words, stream, lengths, train, _, order, classes, _ = _block(tab, replied)
             if classes is None:
                 classes = np.full(len(words), k - 1, np.int32)
                 for h, c in seeds.items():
@@ -162,7 +162,7 @@ def observe(enc: DataFrame, replies: DataFrame | None, seeds: dict[int, int], k:
 
 def _joined(enc: DataFrame, replies: DataFrame | None, parts: int) -> DataFrame:
     """Blocks, each with the replies of the buckets before it."""
-    rows = enc.withColumn("bucket", F.lit(1 << 30))
+    rows = enc.drop("counts").withColumn("bucket", F.lit(1 << 30))
     if replies is None:
         return rows
     rows = rows.unionByName(replies.select("block", "bucket", F.col("classes").alias("_classes"), F.col("counts").alias("_counts")), allowMissingColumns=True)
@@ -170,12 +170,11 @@ def _joined(enc: DataFrame, replies: DataFrame | None, parts: int) -> DataFrame:
 
 
 def _block(tab: pa.Table, replied: bool):
-    """One block: words, training counts here, stream, lengths, train, ids, order of the words by hash, their classes and training counts everywhere."""
+    """One block: words, stream, lengths, train, ids, order of the words by hash, their classes and training counts everywhere."""
     last = tab.slice(tab.num_rows - 1, 1)
     words = np.frombuffer(last["words"][0].as_py(), "<u8")
     stream = unplanes(last["stream"][0].as_py()).astype(np.int32)
     lengths, train = np.array(last["lengths"][0].as_py(), np.int64), np.array(last["train"][0].as_py(), bool)
-    here = unplanes(last["counts"][0].as_py())
     order = np.argsort(words)
     classes = everywhere = None
     if replied:
@@ -184,7 +183,7 @@ def _block(tab: pa.Table, replied: bool):
         if parts.num_rows:
             classes[order] = np.concatenate([np.frombuffer(c, np.int16) for c in parts["_classes"].to_pylist()])
             everywhere[order] = np.concatenate([unplanes(c) for c in parts["_counts"].to_pylist()])
-    return words, here, stream, lengths, train, last["ids"][0].values, order, classes, everywhere
+    return words, stream, lengths, train, last["ids"][0].values, order, classes, everywhere
 
 
 def exchange(asks: DataFrame, state: DataFrame, pairs: np.ndarray, seeds: dict[int, int] | None, k: int, buckets: Buckets) -> DataFrame:
@@ -341,6 +340,7 @@ def score(docs: DataFrame, scratch: Scratch, train: Column, text: str = "text",
     replies, begin = None, seeds
     for k in range(rounds):
         asks = scratch.keep(observe(enc, replies, seeds, classes, buckets, parts), f"asks-{k}")
+        release(docs.sparkSession)
         pairs = _pairs(asks, classes)
         if steps:
             steps(k, pairs)
@@ -361,7 +361,7 @@ def _seen(enc: DataFrame, replies: DataFrame, k: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, tab in runs(batches, "block"):
-            words, _, stream, lengths, train, _, _, classes, _ = _block(tab, True)
+            words, stream, lengths, train, _, _, classes, _ = _block(tab, True)
             s = stream[np.repeat(train, lengths)]
             if len(s):
                 cls = classes[np.concatenate([[np.flatnonzero(words == END)[0]], s])]
@@ -395,7 +395,7 @@ def _scored(enc: DataFrame, replies: DataFrame, model: Model, parts: int, ident:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tab in runs(batches, "block"):
-            _, _, stream, lengths, train, ids, _, classes, counts = _block(tab, True)
+            _, stream, lengths, train, ids, _, classes, counts = _block(tab, True)
             c = counts[stream]
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             base = np.log10((c + 1.0) / (model.n + model.v + 1.0))
