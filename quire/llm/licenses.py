@@ -110,8 +110,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text: st
     for r in known:
         levels.setdefault(level_of(r["n"] - (N - 1)), []).append(r)
 
-    df = docs.select(*keep, words(F.col(text)).alias("_w")).withColumn("_hs", shingle_hashes(F.col("_w")))
-    # No filter here: it would be pushed below and cut the words anew for every shingle. Without shingles all looks-up give null.
+    # A band agrees only where the shingle that is the template's minimum stands in the window, so texts without any of
+    # these shingles are done. The row number keeps repeated rows apart; like the partition below, it keeps the optimizer
+    # from copying what is computed here into the filter that follows.
+    attained = sorted({r[f"m{j}"] ^ seed for r in known for j, seed in enumerate(seeds)} | {h for r in levels.get(0, []) for h in r["hs"]})
+    df = docs.select(*keep, words(F.col(text)).alias("_w"), F.monotonically_increasing_id().alias("_row"))
+    df = df.withColumn("_hs", shingle_hashes(F.col("_w"))).where(F.arrays_overlap("_hs", F.array(*map(F.lit, attained))))
     found = []
     if 0 in levels:
         single = [h for r in levels[0] for h in r["hs"]]
@@ -129,15 +133,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, text: st
         halves = lambda c: F.transform(F.sequence(F.lit(0), F.ceil(F.size(c) / 2).cast("int") - 1), lambda i: F.least(F.get(c, i * 2), F.get(c, i * 2 + 1)))
         mins = [halves(c) for c in here]
         g *= 2
-    # The row number keeps repeated rows apart, and keeps the optimizer from copying the windows' expression into a filter below.
-    hits = df.withColumns({"_at": F.flatten(F.array(*found)), "_row": F.monotonically_increasing_id()})
-    hits = hits.where(F.size("_at") > 0).select(*keep, "_row", "_w", F.explode("_at").alias("_at"))
+    hits = df.withColumns({"_at": F.flatten(F.array(*found)), "_part": F.spark_partition_id()})
+    hits = hits.where(F.size("_at") > 0).select(*keep, "_row", "_part", "_w", F.explode("_at").alias("_at"))
     wide = F.when(F.col("_at.g") == 0, F.lit(1)).otherwise(F.col("_at.g") * 3)
     window = F.slice("_w", F.col("_at.i") + 1, wide + (N - 1))
     own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_s") - (N - 1), F.lit(1))), lambda i: F.array_join(F.slice("_s", i, N), " ")))
-    hits = hits.select(*keep, "_row", "_at", window.alias("_s")).withColumn("_s", own)
+    hits = hits.select(*keep, "_row", "_part", "_at", window.alias("_s")).withColumn("_s", own)
     each = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(r["license"]).alias("license"), F.lit(len(r["s"])).alias("n"), F.size(F.array_intersect(F.col("_s"), F.array(*[F.lit(x) for x in r["s"]]))).alias("k")) for g, rs in sorted(levels.items()) for r in rs])
-    hits = hits.select(*keep, "_row", "_at", F.explode(F.filter(each, lambda t: (t["g"] == F.col("_at.g")) & (t["k"] * 100 >= t["n"] * percent))).alias("t"))
-    ident = F.struct("_row", *keep)
+    hits = hits.select(*keep, "_row", "_part", "_at", F.explode(F.filter(each, lambda t: (t["g"] == F.col("_at.g")) & (t["k"] * 100 >= t["n"] * percent))).alias("t"))
+    ident = F.struct("_row", "_part", *keep)
     out = hits.groupBy(ident.alias("_k"), F.col("t.license").alias("license")).agg(F.count(F.lit(1)).alias("n_windows"), F.min("_at.i").cast("long").alias("first_word"), F.max(F.col("t.k") / F.col("t.n")).alias("containment"))
     return out.select(*[F.col(f"_k.{c}").alias(c) for c in keep], "license", "n_windows", "first_word", "containment")
