@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .base import Scratch
 
 #: Words are runs of ASCII letters and of all characters beyond ASCII.
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Labelled texts of each class that the models are fitted on, at most.
 MOST = 2000
+#: Bytes of a row of a model's file.
+PART_BYTES = 8 << 20
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, label: str, most: int) -> tuple[DataFrame, float]:
@@ -95,30 +100,45 @@ def _contexts(keys: np.ndarray, context: np.ndarray, ys: np.ndarray) -> tuple[np
     return both, out
 
 
-def _differs(n: np.ndarray, total: np.ndarray, least: float, times: float = 3.0) -> np.ndarray:
-    """Where two counts, out of two totals, differ by more than chance (the log-likelihood ratio statistic is over ``least``) and by more than the mix of languages or topics explains (one rate is over ``times`` the other)."""
-    both = n.sum(0)
-    even = both * total[:, None] / max(1.0, float(total.sum()))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * np.where(n > 0, n * np.log(n / even), 0).sum(0)
-    rate = (n + 0.5) / np.maximum(total, 1.0)[:, None]
-    return (g > least) & (np.abs(np.log(rate[1] / rate[0])) > np.log(times))
+_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.asarray(_lgamma(a) + _lgamma(b) - _lgamma(a + b), dtype=float)
+
+
+def _own(n: np.ndarray, total: np.ndarray, rare: float, mixed: float) -> np.ndarray:
+    """Probability that the classes use an expression at rates of their own, from its counts in both.
+
+    Beforehand it is ``rare``. Else the classes share it up to the mix of
+    languages and topics, which spreads its share in the toxic class as a beta
+    law of strength ``mixed`` about that class's share of all counts.
+    """
+    kinds, back = np.unique(n.T.astype(np.int64), axis=0, return_inverse=True)
+    if not len(kinds):
+        return np.zeros(0)
+    p = min(max(float(total[1] / max(1.0, total.sum())), 1e-6), 1 - 1e-6)
+    a, b = np.array([mixed * p]), np.array([mixed * (1 - p)])
+    apart = _log_beta(kinds[:, 1] + 0.5, kinds[:, 0] + 0.5) - math.log(math.pi)
+    alike = _log_beta(kinds[:, 1] + a, kinds[:, 0] + b) - _log_beta(a, b)
+    return (1 / (1 + np.exp(-np.clip(apart - alike + math.log(rare / (1 - rare)), -30, 30))))[back.ravel()]
 
 
 class Models:
-    """Bigram models of the ordinary (0) and the toxic (1) class, by interpolated Kneser-Ney.
+    """Bigram models of the ordinary (0) and the toxic (1) class, by interpolated Kneser-Ney with shared backoff.
 
     All counts are continuation counts: of a pair, how many different words
     stand before it; of a word, how many different words stand before it. Copies
-    of a passage therefore count once. P(w | v, class) discounts the pair's
-    counts and backs off to P(w | class), which discounts the word's counts and
-    backs off to counts that both classes share. Expressions whose use does not
-    differ between the classes by more than chance (all rare ones, above all)
-    have no counts of their own but the shared ones, so both models agree on
-    them but for a constant, and only the ratios of the others are kept.
+    of a passage therefore count once. P(w | class) discounts the word's counts
+    and backs off to the counts of both classes together; P(w | v, class)
+    discounts the pair's and backs off to P(w | class). Every word and pair of
+    the texts is kept. Each has a weight of its own between the class's model
+    and the one that both classes share (``_own``), so a rare expression counts
+    for as much as its counts tell, and never for nothing. Of both models only
+    the ratio is held, for each word and pair; it isn't scaled to sum to one.
     """
 
-    def __init__(self, texts: list[str], ys: np.ndarray, discount: float = 0.75, least: float = 20.0):
+    def __init__(self, texts: list[str], ys: np.ndarray, discount: float = 0.75, rare: float = 0.001, mixed: float = 40.0):
         hs, prevs, owner = [], [], []
         for first, last, h, b in stream(pa.array(texts, pa.string())):
             hs.append(h)
@@ -127,43 +147,41 @@ class Models:
         h, prev, y = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((hs, np.uint64), (prevs, np.uint64), (owner, np.int8)))
         del hs, prevs, owner
         words, uni = _contexts(h, prev, y)
-        apart = _differs(uni, uni.sum(1), least)
-        total = np.maximum(uni.sum(1), 1.0)
-        own = np.maximum(uni[:, apart] - discount, 0.01) / total[:, None]
-        # What the words of their own leave is dealt to all others in one pooled proportion, so there the classes differ by a constant.
-        self.words = Table(words[apart])
-        self.word = np.log(np.concatenate([1 - np.minimum(own.sum(1, keepdims=True), 0.99), own], axis=1))
-        self.word = self.word[1] - self.word[0]
+        total = uni.sum(1)
+        shared = uni.sum(0) / max(1.0, total.sum())
+        free = np.where(total > 0, discount * (uni > 0).sum(1) / np.maximum(total, 1), 1.0)
+        own = np.maximum(uni - discount, 0) / np.maximum(total, 1)[:, None] + free[:, None] * shared
+        weight = _own(uni, total, rare, mixed)
+        p = weight * own + (1 - weight) * shared
+        self.words = Table(words)
+        self.word = np.concatenate([[0.0], np.log(p[1] / p[0])]).astype(np.float32)
         pairs = pair_keys(h, prev)
         two_before = np.where(prev == 0, np.uint64(0), np.concatenate([prev[:1], prev[:-1]]))
         keys, two = _contexts(pairs, two_before, y)
-        own = _differs(two, two.sum(1), least)
-        some, n = keys[own], two[:, own]
-        first = np.full(len(some), np.uint64(0))
-        second = first.copy()
-        at = np.searchsorted(some, pairs)
-        hit = np.flatnonzero(some[np.minimum(at, max(0, len(some) - 1))] == pairs) if len(some) else np.zeros(0, np.int64)
-        first[at[hit]], second[at[hit]] = prev[hit], h[hit]
-        del pairs, two_before, keys, two
-        follow = np.ones((2, len(some)))
-        for v in np.unique(first):
-            follow[:, first == v] = np.maximum(np.bincount(y[prev == v], minlength=2)[:2], 1)[:, None]
-        # Of a pair, the discounted share of what follows its first word, and what is left backs off to the second word's.
-        share = np.maximum(n - discount, 0) / follow
-        back = np.exp(self.word[self.words.rows(second)])
-        base = 0.5 / np.maximum(follow.sum(0), 1.0)
-        self.pairs = Table(some)
-        ratio = (share[1] + base * back) / (share[0] + base)
-        self.pair = np.concatenate([[0.0], np.log(ratio)])
+        at = np.searchsorted(keys, pairs)
+        # Both words of each pair; v is 0 at the start of a text.
+        v, w = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
+        v[at], w[at] = np.where(prev == 0, 0, np.searchsorted(words, prev) + 1), np.searchsorted(words, h)
+        del pairs, two_before, at, h, prev, y
+        weight = _own(two, two.sum(1), rare, mixed)
+        follow = lambda x: np.bincount(v, weights=x, minlength=len(words) + 1)[v]
+        n = two.sum(0)
+        every = follow(n)
+        both = np.maximum(n - discount, 0) / every + discount * follow(np.ones(len(v))) / every * shared[w]
+        r = []
+        for k in (0, 1):
+            after = follow(two[k])
+            rest = np.where(after > 0, discount * follow((two[k] > 0).astype(float)) / np.maximum(after, 1), 1.0)
+            own = np.maximum(two[k] - discount, 0) / np.maximum(after, 1) + rest * p[k][w]
+            r.append(weight * own + (1 - weight) * both * p[k][w] / shared[w])
+        self.pairs = Table(keys)
+        self.pair = np.concatenate([[0.0], np.log(r[1] / r[0])]).astype(np.float32)
         self.curve = (0.0, -1.0)
 
     def differences(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) for each word of a run of texts: the pair's where it has counts of its own, else the word's."""
-        word = self.word[self.words.rows(h)]
-        if len(self.pair) == 1:
-            return word
+        """log P(word | toxic) - log P(word | ordinary) for each word of a run of texts, given the word before it; a pair that the texts don't hold backs off to the word, and an unknown word to 0."""
         q = self.pairs.rows(pair_keys(h, before_of(h, before)))
-        return np.where(q > 0, self.pair[q], word)
+        return np.where(q > 0, self.pair[q], self.word[self.words.rows(h)]).astype(float)
 
     def means(self, texts: pa.Array) -> np.ndarray:
         """Log-likelihood of each text under the toxic model less that under the ordinary one, each divided by the number of words; 0 without words."""
@@ -221,28 +239,48 @@ def fit(texts: list[str], ys: np.ndarray, share: float) -> Models:
     return model
 
 
-def scores(docs: DataFrame, model: Models, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+class Fitted:
+    """Where a fitted model lies in the shared folder. Executors read it there; the driver never holds it."""
+
+    def __init__(self, path: str, share: float):
+        self.path, self.share = path, share
+
+    def load(self) -> Models:
+        """The model, read once a worker process."""
+        if self.path not in _held:
+            from pyarrow import fs
+
+            where, path = fs.FileSystem.from_uri(self.path)
+            parts = ds.dataset(path, filesystem=where, format="parquet", schema=pa.schema([("part", pa.int32()), ("data", pa.binary())])).to_table().sort_by("part")
+            _held.clear()
+            _held[self.path] = pickle.loads(b"".join(parts["data"].to_pylist())) if len(parts) else fit([], np.zeros(0, np.int64), self.share)
+        return _held[self.path]
+
+
+_held: dict[str, Models] = {}
+
+
+def scores(docs: DataFrame, model: Fitted, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and score (0 to 1, higher: likelier toxic) of every whole text; null and empty texts have no words and get the curve's value at 0.
 
-    The model is bounded by the sample that it was fitted on, so it is sent to
-    the executors whole. Only the text is read for the score; repeated rows are
-    scored alike, other columns are not read.
+    The model is bounded by the sample that it was fitted on, and executors read
+    it from the shared folder. Only the text is read for the score; repeated
+    rows are scored alike, other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sent.value.score(batch.column(text)))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.load().score(batch.column(text)))], [*keep, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kinds}, score double")
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "toxic", most: int = MOST) -> Models:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "toxic", most: int = MOST) -> Fitted:
     """Models fitted on at most ``most`` labelled texts of each class (documented bound; chosen by hash of the id, alike at every size).
 
-    One task fits them, as the sample is bounded; the driver gets the model,
-    which holds only expressions that differ between the classes.
+    One task fits them, as the sample is bounded, and writes them into the
+    shared folder in parts of PART_BYTES.
     """
     rows, share = sample(docs, labels, text, ident, label, most)
 
@@ -250,8 +288,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
         parts = [b for b in batches if b.num_rows]
         got = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("t", "ascending")]) if parts else None
         got = got.slice(0, 8 * most) if got else None
-        model = fit(got["t"].to_pylist() if got else [], got["y"].to_numpy().astype(np.int64) if got else np.zeros(0, np.int64), share)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        made = pickle.dumps(fit(got["t"].to_pylist() if got else [], got["y"].to_numpy().astype(np.int64) if got else np.zeros(0, np.int64), share), protocol=5)
+        for k in range(0, len(made), PART_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array([k // PART_BYTES], pa.int32()), pa.array([made[k : k + PART_BYTES]], pa.binary())], ["part", "data"])
 
-    made = rows.repartition(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(made[0]) if made else fit([], np.zeros(0, np.int64), share)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    scratch.keep(rows.repartition(1).mapInArrow(run, "part int, data binary"), "model")
+    return Fitted(scratch.path("model"), share)

@@ -363,6 +363,30 @@ def test_toxicity(spark, scratch):
     assert toxicity.scores(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_weighs_rare_expressions():
+    import random
+
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    plain = lambda: [rnd.choice(vocab) for _ in range(60)]
+    texts, ys = [], []
+    for i in range(800):
+        w, y = plain(), i % 2
+        if y:
+            w[30] = "seldomrare" if i < 28 else "rarer" if i < 38 else w[30]
+            w[rnd.randrange(20)] = "vile" if i >= 38 else w[0]
+        texts.append(" ".join(w))
+        ys.append(y)
+    model = toxicity.Models(texts, np.array(ys))
+    base = plain()
+    some = [" ".join([*base[:30], x, *base[31:]]) for x in (base[30], "unheard", "rarer", "seldomrare", "vile")]
+    same, unheard, rarer, seldom, vile = model.means(pa.array(some)) * 60
+    assert max(abs(same - unheard), abs(same)) < 0.3
+    assert unheard < rarer < seldom < vile and seldom - unheard > 0.5
+
+
 def test_queries_and_pipeline(spark):
     import os
 
