@@ -523,9 +523,11 @@ def folios_taken(t):
 def page_gutters(t):
     from quire.operators import pages
 
-    rows = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(F.rpad(F.substring("text", i * 25 + 1, 25), 26, " "), F.lit("    "), F.substring("text", i * 25 + 300, 25)))
-    flat = t("documents").withColumn("text", F.translate("text", "\n ", "__")).where("length(text) > 700")
-    return pages.gutters(flat.select("doc_id", F.array_join(rows, "\n").alias("text")), "doc_id")
+    # The whole text in two columns of 25 characters, the left one first.
+    cut = t("documents").select("doc_id", F.regexp_extract_all(F.translate("text", "\n ", "__"), F.lit("(?s).{1,25}"), 0).alias("cut"))
+    half = cut.withColumn("n", F.ceil(F.size("cut") / 2).cast("int"))
+    rows = F.zip_with(F.slice("cut", F.lit(1), F.col("n")), F.slice("cut", F.col("n") + 1, F.col("n")), lambda x, y: F.concat(F.rpad(x, 26, " "), F.lit("    "), F.coalesce(y, F.lit(""))))
+    return pages.gutters(half.select("doc_id", F.array_join(rows, "\n").alias("text")), "doc_id")
 
 
 @query()
