@@ -24,23 +24,45 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _without_dots(url: Column) -> Column:
+    """The url with the segments . and .. of its path worked out."""
+    whole = r"(?s)^(.*?://[^/?#]*/)([^?#]*)(.*)$"
+    each = F.split(F.regexp_extract(url, whole, 2), "/")
+    kept = F.aggregate(each, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.array_append(done, x)))
+    end = F.when(F.element_at(each, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(url.rlike(r"(?s)^.*?://[^/?#]*/(?:[^?#]*/)?\.\.?(?:[/?#]|$)"), F.concat(F.regexp_extract(url, whole, 1), F.array_join(kept, "/"), end, F.regexp_extract(url, whole, 3))).otherwise(url)
+
+
+def resolved(page: Column, to: Column) -> Column:
+    """The absolute url that a link on a page leads to; null for an empty link, a scheme without ://, and a relative path on a page without ://."""
+    part = lambda k: F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)([^?#]*)(\?[^#]*)?", k)
+    folder = F.regexp_replace(part(2), r"[^/]*$", "")
+    full = (
+        F.when(to.startswith("//"), F.concat(F.regexp_extract(page, r"(?s)^(.*?:)//", 1), to))
+        .when(to.startswith("/"), F.concat(part(1), to))
+        .when(~page.contains("://"), None)
+        .when(to.startswith("?"), F.concat(part(1), part(2), to))
+        .when(to.startswith("#"), F.concat(part(1), part(2), part(3), to))
+        .otherwise(F.concat(part(1), F.when(folder == "", "/").otherwise(folder), to))
+    )
+    return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(to.contains("://"), to)).when(to.rlike(r"^[?#]"), full).when(to != "", _without_dots(full))
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b) that pages state: canonical links and refreshes without delay to another place.
+    """Edges (a, b) that pages state: canonical links and refreshes, after whatever delay, to another url.
 
-    Attributes may stand in any order and with either quote or none; targets
-    are absolute, or start with // or /. Entities in targets: &amp; only.
+    Attributes may stand in any order and with either quote or none. Relative
+    targets are resolved against the page's url (``resolved``); base elements
+    aren't read. Entities in targets: &amp; only.
     """
     page = F.coalesce(F.col(html), F.lit(""))
     tags = F.regexp_extract_all(page, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
     tag = F.col("tag")
     found = pages.where(F.col(url).isNotNull() & page.rlike(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)")).select(F.col(url).alias("a"), F.explode(tags).alias("tag"))
     canonical = F.when(tag.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?\s*canonical\b"""), F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    refresh = F.when(tag.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']?\s*0*\s*[;,]\s*url\s*=\s*["']?\s*([^"'\s>]+)""", 1))
+    refresh = F.when(tag.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?\s*([^"'\s>]+)""", 1))
     to = F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract("a", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("a", r"(?s)^(.*?:)//", 1)
-    full = F.when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat(origin, to)).when(to.contains("://"), to)
-    return found.select("a", full.alias("b")).where("b is not null and a <> b")
+    return found.select("a", resolved(F.col("a"), to).alias("b")).where("b is not null and a <> b")
 
 
 #: Rules up to this number are part of the expression; more are joined by host.

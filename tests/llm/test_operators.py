@@ -291,6 +291,28 @@ def test_urls(spark, scratch):
     assert urls.judge(df.limit(0), queries.RULES, scratch).count() == 0
 
 
+def test_urls_of_relative_links(spark, scratch):
+    from urllib.parse import urljoin
+
+    bases = ["http://y.org/a/b/c?q=1#f", "http://y.org", "http://y.org/a/b/", "http://y.org/a/./b/../c", "http://y.org?x=/z"]
+    tos = ["page.html", "../x", "?id=3", "#t", "./", "..", "../..", "../../../x/./y", ".", "/a/../b?u=../c", "//z.org/b", "g?u=http://z.org/", "http://z.org/x", "...", "x/..", "a.b/.c/..d"]
+    df = spark.createDataFrame([(a, t) for a in bases for t in tos], "a string, t string")
+    got = {(r["a"], r["t"]): r["b"] for r in df.select("a", "t", urls.resolved(F.col("a"), F.col("t")).alias("b")).collect()}
+    assert got == {(a, t): urljoin(a, t) for a in bases for t in tos}
+    none = spark.createDataFrame([("http://y.org/a", ""), ("http://y.org/a", "mailto:x"), ("no scheme", "x"), ("http://y.org/a", None)], "a string, t string")
+    assert none.select(urls.resolved(F.col("a"), F.col("t"))).distinct().collect() == [(None,)]
+    pages = [
+        (1, "http://y.org/a/b", '<link rel="canonical" href="../q/page.html">'),
+        (2, "http://w.org/", '<meta http-equiv="refresh" content="5; url=http://b.net/r">'),
+        (3, "http://v.org/x/y", "<meta content='2.5;URL=z' http-equiv=refresh>"),
+        (4, "http://y.org/q/page.html", '<link href="http://b.net/r" rel="canonical">'),
+        (5, "http://v.org/x/z", '<link rel=canonical href=http://b.net/r>'),
+        (6, "http://u.org/", '<meta http-equiv="refresh" content="30">'),
+    ]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.RULES, scratch).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
 def test_packing(spark, docs, empty, scratch):
     from tokenizers import Tokenizer
 
