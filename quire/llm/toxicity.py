@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -21,6 +22,8 @@ LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Labelled texts of each class that the models are fitted on, at most.
 MOST = 2000
+#: Different texts of one id that they are fitted on, at most.
+EACH = 4
 #: Bytes of a row of a model's file.
 PART_BYTES = 8 << 20
 
@@ -28,7 +31,9 @@ PART_BYTES = 8 << 20
 def sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, label: str, most: int) -> tuple[DataFrame, float]:
     """Rows (h, t, y) of at most ``most`` labelled ids of each class, those with the smallest hash of the id, and the share of toxic ones among all labelled.
 
-    This bounds all that the models hold. Rows of labels with another value than
+    Rows that repeat both id and text are one, and of each id's texts at most
+    EACH stay, those with the smallest hash, so an id in very many rows takes no
+    other's place. This bounds all that the models hold. Rows of labels with another value than
     0 or 1 are left out, and so are ids labelled both ways; null texts are empty.
     """
     mine = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("_id")).agg(F.min(label).alias("y"), F.max(label).alias("hi")).where("y = hi").select("_id", "y")
@@ -37,6 +42,8 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, label: str
     # Ids are chosen first, so texts of the chosen alone are dealt out.
     ids = [there.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
     rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(ids[0].unionByName(ids[1])), "_id")
+    place = F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64("t"), "t"))
+    rows = rows.distinct().withColumn("place", place).where(F.col("place") <= EACH)
     return rows.select(F.xxhash64("_id").alias("h"), "t", "y"), float(share if share is not None else 0.0)
 
 
@@ -287,7 +294,6 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         got = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("t", "ascending")]) if parts else None
-        got = got.slice(0, 8 * most) if got else None
         made = pickle.dumps(fit(got["t"].to_pylist() if got else [], got["y"].to_numpy().astype(np.int64) if got else np.zeros(0, np.int64), share), protocol=5)
         for k in range(0, len(made), PART_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array([k // PART_BYTES], pa.int32()), pa.array([made[k : k + PART_BYTES]], pa.binary())], ["part", "data"])

@@ -409,6 +409,21 @@ def test_toxicity_weighs_rare_expressions():
     assert unheard < rarer < seldom < vile and seldom - unheard > 0.5
 
 
+def test_toxicity_of_an_id_in_very_many_rows(spark):
+    """Copies and texts of one id leave all others in the sample."""
+    ids = list(range(20))
+    hot = spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).first()[0]
+    rows = [(i, "vile nasty words" if i % 2 else "plain good words") for i in ids] + [(hot, "plain good words")] * 200 + [(hot, f"text {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = [(r["h"], r["t"]) for r in toxicity.sample(docs, labels, "text", "doc_id", "toxic", 10)[0].collect()]
+    n = Counter(h for h, _ in got)
+    assert len(got) == len(set(got)) and len(n) == 20 and sorted(n.values()) == [1] * 19 + [toxicity.EACH]
+    model = toxicity.train(docs, labels, most=10)
+    score = {r["doc_id"]: r["score"] for r in toxicity.scores(docs.where(F.col("text").endswith("words")), model).collect()}
+    assert min(s for i, s in score.items() if i % 2) > max(s for i, s in score.items() if not i % 2)
+
+
 def test_queries_and_pipeline(spark):
     import os
 
