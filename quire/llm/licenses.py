@@ -12,10 +12,10 @@ from .urls import lower
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a shingle.
 N = 5
-#: Bands of one hash each. Windows of a level hold a template of it, wholly copied, with a
-#: Jaccard similarity of 0.29 or more at containment 0.8 (0.38 or more for verbatim copies),
-#: so at least one of 16 bands agrees with a probability over 0.995 (0.9995).
-BANDS = 16
+#: Bands of one hash each. A level's shortest templates (g + 2 shingles in a window of 3 g) share the least with it: a Jaccard
+#: similarity over 0.25 at containment 0.8, and over 1/3 for verbatim copies, so at least one of 20 bands agrees
+#: with a probability over 0.995 (0.9995).
+BANDS = 20
 
 # Notices as their licences word them.
 TEMPLATES = [

@@ -169,6 +169,23 @@ def test_decontamination(spark, docs, empty, monkeypatch, limit):
     assert decontaminate.scan(empty, bench).count() == 0
 
 
+@pytest.mark.parametrize(("g", "share", "most"), [(32, 0.8, 0.005), (64, 0.8, 0.005), (128, 0.8, 0.005), (64, 1.0, 0.0005)])
+def test_license_bands_at_the_edge(g, share, most):
+    """How often no band of a full window agrees with a level's shortest template, of which it holds a share."""
+    assert licenses.level_of(g + 1) < licenses.level_of(g + 2) == g
+    rnd, n, draws = np.random.default_rng(7), g + 2, 20000
+    held = math.ceil(share * n)
+    missed = 0
+    for _ in range(draws // 2000):
+        h = rnd.integers(-(2**63), 2**63 - 1, (2000, n + 3 * g - held), dtype=np.int64)
+        hit = np.zeros(2000, bool)
+        for mask in licenses._seeds():
+            x = h ^ np.int64(mask)
+            hit |= x[:, :n].min(1) == x[:, n - held :].min(1)
+        missed += int((~hit).sum())
+    assert missed < most * draws
+
+
 def test_decontamination_spans(spark):
     df = spark.createDataFrame([(1, "É x -- ONE,\n two; three four")], "doc_id long, text string")
     r = decontaminate.scan(df, spark.createDataFrame([(1, "one two three")], "item_id long, text string"), size=3).first()
