@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,19 +13,9 @@ SPACES = np.ones(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-_P, _MASK = 0x9E3779B97F4A7C55, (1 << 64) - 1
-_INV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = 1 << max(20, (n - 1).bit_length())
-        for i, base in enumerate((_P, _INV)):
-            x = np.full(n, base, dtype=np.uint64)
-            x[0] = 1
-            _powers[i] = np.cumprod(x, dtype=np.uint64)
-    return _powers
+#: Longer words, in bytes, are hashed one at a time.
+LONG = 1 << 10
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,14 +68,25 @@ def words(off: np.ndarray, data: np.ndarray, kept: np.ndarray = SPACES) -> tuple
 
 
 def hashes(starts: np.ndarray, ends: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: a polynomial over its bytes and its length, mixed."""
+    """64-bit hash of each word: its bytes in eights, each mixed into what stands before it, and its length.
+
+    Words of over LONG bytes are hashed by BLAKE2b, so one word of any length takes no round for each eight bytes of it.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _tables(len(low) + 1)
-    c = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(low)], dtype=np.uint64, out=c[1:])
-    h = (c[ends] - c[starts]) * inverse[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(low) + 1,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    h = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        part = eight[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]
+        h[more] = mix((h[more] * np.uint64(0x9E3779B97F4A7C15)) ^ part)
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(h: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
