@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .base import Scratch
+from .base import Scratch, lean
 
 #: Words are runs of ASCII letters and of all characters beyond ASCII.
 LETTERS = np.zeros(256, dtype=bool)
@@ -131,21 +131,34 @@ def _own(n: np.ndarray, total: np.ndarray, rare: float, mixed: float) -> np.ndar
     return (1 / (1 + np.exp(-np.clip(apart - alike + math.log(rare / (1 - rare)), -30, 30))))[back.ravel()]
 
 
+def _per_class(n: np.ndarray, total: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Counts of each class as if it had the texts of both: its own as far as the classes differ in an expression, those of both together as far as they share it."""
+    every, out = n.sum(0), np.zeros((2, n.shape[1]))
+    for k in (0, 1):
+        own = n[k] * (total.sum() / total[k]) if total[k] else every
+        out[k] = weight * own + (1 - weight) * every
+    return out
+
+
 class Models:
     """Bigram models of the ordinary (0) and the toxic (1) class, by interpolated Kneser-Ney with shared backoff.
 
     All counts are continuation counts: of a pair, how many different words
     stand before it; of a word, how many different words stand before it. Copies
-    of a passage therefore count once. P(w | class) discounts the word's counts
-    and backs off to the counts of both classes together; P(w | v, class)
-    discounts the pair's and backs off to P(w | class). Every word and pair of
-    the texts is kept. Each has a weight of its own between the class's model
-    and the one that both classes share (``_own``), so a rare expression counts
-    for as much as its counts tell, and never for nothing. Of both models only
-    the ratio is held, for each word and pair; it isn't scaled to sum to one.
+    of a passage therefore count once. A class's counts are its own so far as
+    the classes are taken to differ in an expression, else those of both
+    (``_own``, ``_per_class``); every word and pair of the texts is kept. Then
+
+        P(w)            = (n(w) - d(w)) / n                              of both classes, an unknown word has sum d / n
+        P(w | class)    = (n_c(w) - d_c(w)) / n_c + sum d_c / n_c P(w)
+        P(w | v, class) = (n_c(v w) - d_c(v w)) / n_c(v) + sum d_c / n_c(v) P(w | class)
+
+    with d the lesser of the count and ``discount``, which is below 1. A word before which there
+    is no word that the texts have follows P(w | class). Over all words of the
+    texts and the unknown one, each law sums to 1.
     """
 
-    def __init__(self, texts: list[str], ys: np.ndarray, discount: float = 0.75, rare: float = 0.001, mixed: float = 40.0):
+    def __init__(self, texts: list[str], ys: np.ndarray, discount: float = 0.9, rare: float = 0.001, mixed: float = 40.0):
         hs, prevs, owner = [], [], []
         for first, last, h, b in stream(pa.array(texts, pa.string())):
             hs.append(h)
@@ -155,13 +168,19 @@ class Models:
         del hs, prevs, owner
         words, uni = _contexts(h, prev, y)
         total = uni.sum(1)
-        shared = uni.sum(0) / max(1.0, total.sum())
-        free = np.where(total > 0, discount * (uni > 0).sum(1) / np.maximum(total, 1), 1.0)
-        own = np.maximum(uni - discount, 0) / np.maximum(total, 1)[:, None] + free[:, None] * shared
-        weight = _own(uni, total, rare, mixed)
-        p = weight * own + (1 - weight) * shared
+        n = uni.sum(0)
+        held = np.minimum(n, discount)
+        shared = np.concatenate([n - held, [held.sum()]]) / max(1.0, n.sum())  # the last is the unknown word
+        if not len(words):
+            shared[:] = 1.0
+        mine = _per_class(uni, total, _own(uni, total, rare, mixed))
+        held = np.minimum(mine, discount)
+        size = mine.sum(1, keepdims=True)
+        p = np.concatenate([mine - held, np.zeros((2, 1))], axis=1) / np.maximum(size, 1e-300) + np.where(size > 0, held.sum(1, keepdims=True) / np.maximum(size, 1e-300), 1.0) * shared
+        with np.errstate(divide="ignore"):
+            # Row 0 of a table is what it doesn't hold.
+            self.word = np.log(np.concatenate([p[:, -1:], p[:, :-1]], axis=1)).astype(np.float32)
         self.words = Table(words)
-        self.word = np.concatenate([[0.0], np.log(p[1] / p[0])]).astype(np.float32)
         pairs = pair_keys(h, prev)
         two_before = np.where(prev == 0, np.uint64(0), np.concatenate([prev[:1], prev[:-1]]))
         keys, two = _contexts(pairs, two_before, y)
@@ -170,37 +189,43 @@ class Models:
         v, w = np.zeros(len(keys), dtype=np.int32), np.zeros(len(keys), dtype=np.int32)
         v[at], w[at] = np.where(prev == 0, 0, np.searchsorted(words, prev) + 1), np.searchsorted(words, h)
         del pairs, two_before, at, h, prev, y
-        weight = _own(two, two.sum(1), rare, mixed)
-        follow = lambda x: np.bincount(v, weights=x, minlength=len(words) + 1)[v]
-        n = two.sum(0)
-        every = follow(n)
-        both = np.maximum(n - discount, 0) / every + discount * follow(np.ones(len(v))) / every * shared[w]
-        r = []
+        mine = _per_class(two, two.sum(1), _own(two, two.sum(1), rare, mixed))
+        self.pair, self.rest = np.zeros((2, len(keys) + 1), np.float32), np.zeros((2, len(words) + 1), np.float32)
         for k in (0, 1):
-            after = follow(two[k])
-            rest = np.where(after > 0, discount * follow((two[k] > 0).astype(float)) / np.maximum(after, 1), 1.0)
-            own = np.maximum(two[k] - discount, 0) / np.maximum(after, 1) + rest * p[k][w]
-            r.append(weight * own + (1 - weight) * both * p[k][w] / shared[w])
+            held = np.minimum(mine[k], discount)
+            after, freed = (np.bincount(v, weights=x, minlength=len(words) + 1) for x in (mine[k], held))
+            rest = np.where(after > 0, freed / np.maximum(after, 1e-300), 1.0)
+            self.pair[k, 1:] = np.log((mine[k] - held) / np.maximum(after[v], 1e-300) + rest[v] * p[k][w])
+            self.rest[k] = np.log(rest)
         self.pairs = Table(keys)
-        self.pair = np.concatenate([[0.0], np.log(r[1] / r[0])]).astype(np.float32)
-        self.curve = (0.0, -1.0)
-
-    def differences(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) for each word of a run of texts, given the word before it; a pair that the texts don't hold backs off to the word, and an unknown word to 0."""
-        q = self.pairs.rows(pair_keys(h, before_of(h, before)))
-        return np.where(q > 0, self.pair[q], self.word[self.words.rows(h)]).astype(float)
-
-    def means(self, texts: pa.Array) -> np.ndarray:
-        """Log-likelihood of each text under the toxic model less that under the ordinary one, each divided by the number of words; 0 without words."""
-        out = np.zeros(len(texts))
+        self.curve, self.share = (0.0, -1.0), 0.0
+
+    def logs(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(word | word before it, class) for each word of a run of texts, a row a class; a pair that the texts don't hold backs off to the word."""
+        prev = before_of(h, before)
+        q, w = self.pairs.rows(pair_keys(h, prev)), self.words.rows(h)
+        v = np.where(prev == 0, 0, self.words.rows(prev))
+        known = (prev == 0) | (v > 0)
+        return np.where(q > 0, self.pair[:, q], self.word[:, w] + np.where(known, self.rest[:, v], np.float32(0))).astype(float)
+
+    def likelihoods(self, texts: pa.Array) -> np.ndarray:
+        """Log-likelihood of each text under the ordinary and the toxic model, each divided by the number of words; 0 without words."""
+        out = np.zeros((2, len(texts)))
         for first, last, h, b in stream(texts):
-            d = np.concatenate([[0.0], np.cumsum(self.differences(h, b))])
-            out[first:last] = (d[b[1:]] - d[b[:-1]]) / np.maximum(np.diff(b), 1)
+            d = np.concatenate([np.zeros((2, 1)), np.cumsum(self.logs(h, b), axis=1)], axis=1)
+            out[:, first:last] = (d[:, b[1:]] - d[:, b[:-1]]) / np.maximum(np.diff(b), 1)
         return out
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def means(self, texts: pa.Array) -> np.ndarray:
+        """Toxic less ordinary log-likelihood a word."""
+        both = self.likelihoods(texts)
+        return both[1] - both[0]
+
+    def score(self, likelihoods: np.ndarray) -> np.ndarray:
+        """From what ``likelihoods`` gives; a text without words gets the share of toxic labels."""
         a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * bend(self.means(texts)) + b, -30, 30)))
+        score = 1 / (1 + np.exp(-np.clip(a * bend(likelihoods[1] - likelihoods[0]) + b, -30, 30)))
+        return np.where((likelihoods == 0).all(0), self.share, score)
 
 
 def bend(x: np.ndarray) -> np.ndarray:
@@ -230,9 +255,11 @@ def fit(texts: list[str], ys: np.ndarray, share: float) -> Models:
     """
     model = Models(texts, ys)
     share = min(max(share, 1e-4), 1 - 1e-4)
+    model.share = share
     flat = float(np.log(share / (1 - share)))
     if min(int((ys == 0).sum()), int((ys == 1).sum())) < 2:
         model.curve = (0.0, flat)
+        model.share = float(1 / (1 + np.exp(-flat)))
         return model
     half = np.zeros(len(ys), dtype=np.int64)
     for k in (0, 1):
@@ -268,7 +295,7 @@ _held: dict[str, Models] = {}
 
 
 def scores(docs: DataFrame, model: Fitted, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and score (0 to 1, higher: likelier toxic) of every whole text; null and empty texts have no words and get the curve's value at 0.
+    """keep, score (0 to 1, higher: likelier toxic), toxic_ll and ordinary_ll (log-likelihoods a word) of every whole text; texts without words (null and empty ones too) get 0 for both and the share of toxic labels as their score.
 
     The model is bounded by the sample that it was fitted on, and executors read
     it from the shared folder. Only the text is read for the score; repeated
@@ -276,11 +303,14 @@ def scores(docs: DataFrame, model: Fitted, text: str = "text", keep: tuple[str,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.load().score(batch.column(text)))], [*keep, "score"])
+            fitted = model.load()
+            ordinary, toxic = both = fitted.likelihoods(batch.column(text))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *map(pa.array, (fitted.score(both), toxic, ordinary))], [*keep, "score", "toxic_ll", "ordinary_ll"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kinds}, score double, toxic_ll double, ordinary_ll double")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", label: str = "toxic", most: int = MOST) -> Fitted:
