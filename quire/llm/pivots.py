@@ -16,11 +16,13 @@ SAMPLE = 4096
 #: Rows of a cell that one task scores at a time.
 BLOCK = 4096
 
-INDEX = "id long, vec array<long>, norm long, pivot int, ring int, dist double"
+INDEX = "id long, vec array<long>, norm double, pivot int, ring int, dist double"
+#: Scores are 64-bit numbers; one beyond them counts as the nearest of them.
+MOST_SCORE = (1 << 63) - 1
 
 
 def quantised(df: DataFrame, ident: str, vector: str, scale: int) -> DataFrame:
-    """id and vec, the floor of scale times each component as a double; rows with a null vector or id, or with null or non-finite components, are left out, and so are empty vectors."""
+    """id and vec, the floor of scale times each component as a double; rows with a null vector or id, or with null or non-finite components, are left out, and so are empty vectors. A component beyond 64 bits counts as the nearest 64-bit number."""
     v = F.col(vector)
     ok = v.isNotNull() & F.col(ident).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     vec = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
@@ -29,9 +31,19 @@ def quantised(df: DataFrame, ident: str, vector: str, scale: int) -> DataFrame:
 
 def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """List column of equal lengths as a matrix of doubles; sums of products below 2^53 are exact."""
+    return _whole(column).astype(np.float64)
+
+
+def _whole(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, pair by pair, held to 64 bits."""
+    sums = (q.astype(object) * v.astype(object)).sum(axis=1)
+    return np.array([max(-MOST_SCORE - 1, min(MOST_SCORE, int(x))) for x in sums], dtype=np.int64)
 
 
 class Pivots:
@@ -42,7 +54,7 @@ class Pivots:
     distance to it rises: |q - v|^2 = |q|^2 + largest - 2 q v.
     """
 
-    def __init__(self, sample: np.ndarray, largest: int, pivots: int, rings: int):
+    def __init__(self, sample: np.ndarray, largest: float, pivots: int, rings: int):
         self.largest = float(largest)
         lifted = self.lift(sample)
         chosen = [0]
@@ -84,14 +96,14 @@ def index(vectors: DataFrame, pivots: int, rings: int) -> tuple[DataFrame, Pivot
     Pivots and borders come from a bounded sample (SAMPLE rows), the largest
     norm from all rows. Vectors must all have one length.
     """
-    norm = F.aggregate("vec", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = vectors.agg(F.max(norm).alias("m"), F.min(F.size("vec")).alias("lo"), F.max(F.size("vec")).alias("hi")).first()
     if facts["m"] is None:
-        return vectors.select("id", "vec", F.lit(0).cast("long").alias("norm"), F.lit(0).alias("pivot"), F.lit(0).alias("ring"), F.lit(0.0).alias("dist")), None
+        return vectors.select("id", "vec", F.lit(0.0).alias("norm"), F.lit(0).alias("pivot"), F.lit(0).alias("ring"), F.lit(0.0).alias("dist")), None
     if facts["lo"] != facts["hi"]:
         raise ValueError(f"vectors have from {facts['lo']} to {facts['hi']} components")
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    model = Pivots(np.array([r["vec"] for r in sample], dtype=np.float64), facts["m"], pivots, rings)
+    model = Pivots(np.array([r["vec"] for r in sample], dtype=np.float64), facts["m"] * (1 + 1e-9), pivots, rings)
     sent = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +113,7 @@ def index(vectors: DataFrame, pivots: int, rings: int) -> tuple[DataFrame, Pivot
                 continue
             x = _rows(batch.column("vec"))
             own, dist = m.cell(m.lift(x))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array((x * x).sum(1).astype(np.int64)), pa.array(own.astype(np.int32)), pa.array(m.ring(own, dist)), pa.array(dist)], ["id", "vec", "norm", "pivot", "ring", "dist"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array((x * x).sum(1)), pa.array(own.astype(np.int32)), pa.array(m.ring(own, dist)), pa.array(dist)], ["id", "vec", "norm", "pivot", "ring", "dist"])
 
     return vectors.mapInArrow(run, INDEX), model
 
@@ -111,6 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10
 
     vectors, queries: id, vec (whole numbers); ties go to the smaller id; a
     query's own id is no candidate. Fewer than k other vectors: all of them. A
+    scores beyond 64 bits count as the nearest 64-bit number, so they tie. A
     query id that comes more than once is searched once (of its vectors, the
     least); vectors with one id are candidates each.
 
@@ -138,8 +151,9 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10
     def bounds(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least distance from each query to any vector of each cell, and the highest score that it leaves."""
         d = sent.value.to_queries(q)[:, place]
-        least = np.maximum(0, np.maximum(lo - d, d - hi) - 1e-6)
-        return least, ((q * q).sum(1)[:, None] + largest - least**2) / 2 + 1e-3
+        size = (q * q).sum(1)[:, None] + largest
+        least = np.maximum(0, np.maximum(lo - d, d - hi) - 1e-6 * np.maximum(1, np.sqrt(size)))
+        return least, (size - least**2) / 2 + 1e-3 + 1e-9 * size
 
     def visits(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,18 +193,26 @@ def search(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 10
             for a in range(0, asked.num_rows, query_block):
                 some = asked.slice(a, query_block)
                 qi = some["id"].to_numpy()
-                s = _rows(some["vec"]) @ v.T
+                q = _rows(some["vec"])
+                s = q @ v.T
+                # Beyond 2^53 doubles only tell which pairs may be wanted; those are multiplied as whole numbers.
+                slack = np.sqrt((q * q).sum(1) * (v * v).sum(1).max())
+                slack = np.where(slack < 1 << 52, 0.0, slack * 1e-12)
                 s[qi[:, None] == ids[None]] = -np.inf
                 floor = np.nan_to_num(some["floor"].to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
                 if s.shape[1] > k:  # the k-th best of the block is a bound too; ties stay
                     floor = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, -k])
-                i, j = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
-                order = np.lexsort((ids[j], -s[i, j], i))
-                i, j = i[order], j[order]
+                i, j = np.nonzero((s >= np.where(floor >= 2.0**62, -np.inf, floor - 2 * slack)[:, None]) & np.isfinite(s))
+                if slack.any():
+                    whole = _exact(_whole(some["vec"])[i], _whole(own["vec"])[j])
+                else:
+                    whole = s[i, j].astype(np.int64)
+                order = np.lexsort((ids[j], ~whole, i))
+                i, j, whole = i[order], j[order], whole[order]
                 start = np.searchsorted(i, np.arange(len(qi)))
                 keep = np.arange(len(i)) - start[i] < k
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ids[j]), pa.array(s[i, j].astype(np.int64))], ["query_id", "vec_id", "score"])
+                i, j, whole = i[keep], j[keep], whole[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ids[j]), pa.array(whole)], ["query_id", "vec_id", "score"])
 
     def met(asked: DataFrame) -> DataFrame:
         asks = asked.withColumn("part", F.explode(F.sequence(F.lit(0), count_of - 1))).withColumn("kind", F.lit(1))
