@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .base import Scratch
 
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of so much white space are left to the file's own library; the other's pattern can't take a million.
+_SPACE = re.compile(r"\s{50000}")
 _encoders: dict = {}
 
 
@@ -23,7 +26,8 @@ def encoder(path: str):
 
     A byte-level BPE file whose merges stand in order of their ids is run by
     the faster of two libraries that give equal ids; texts with one of its
-    added tokens' strings, and other files, go through the file's own library.
+    added tokens' strings or with very long white space, and other files, go
+    through the file's own library.
     """
     if path not in _encoders:
         import tiktoken
@@ -36,7 +40,7 @@ def encoder(path: str):
         added = [t["content"] for t in spec.get("added_tokens") or []]
         fast = None
         pre = spec.get("pre_tokenizer") or {}
-        if spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
+        if spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec["model"].get("ignore_merges") and not spec.get("normalizer"):
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
             vocab = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
@@ -48,7 +52,7 @@ def encoder(path: str):
         def encode(texts: list[str]) -> list[list[int]]:
             if fast is None:
                 return [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
-            return [own.encode(t, add_special_tokens=False).ids if any(a in t for a in added) else fast.encode_ordinary(t) for t in texts]
+            return [own.encode(t, add_special_tokens=False).ids if any(a in t for a in added) or _SPACE.search(t) else fast.encode_ordinary(t) for t in texts]
 
         _encoders[path] = encode
     return _encoders[path]
@@ -59,7 +63,8 @@ def cut(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...]
 
     A document's ids are those of its whole text, then end_id. Only documents of
     more than most ids are cut; their first piece is the shorter one. A null or
-    empty text is one piece that holds end_id alone.
+    empty text is one piece that holds end_id alone; repeated rows are cut each;
+    an empty table gives none. Columns other than keep and text are not read.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -164,14 +169,18 @@ def pack(pieces: DataFrame, scratch: Scratch, most: int = 2048, salts: int = 64)
     Only the histogram of lengths, at most ``most`` counts, comes to the driver,
     and only the plan, bounded likewise, goes out. Pieces of one length are
     numbered by salted parts (partition of origin and salt), so a length that a
-    third of all pieces have is not numbered by one task. Ties between pieces
-    of one length are free. Columns of the names added are replaced.
+    third of all pieces have is not numbered by one task; pieces of full length,
+    the commonest of long texts, are a sequence each and are not numbered with
+    others at all. Ties between pieces of one length are free, repeated rows are
+    placed each, an empty table gives none. Columns of the names added are replaced.
     """
     from pyspark.sql import Window as W
 
     rest = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     part = F.pmod(F.xxhash64(*[F.col(c) for c in rest]), F.lit(salts)).cast("int")
     rows = scratch.keep(pieces.select(*rest, part.alias("_salt")), "pieces")
+    whole = rows.where(F.col("length") == most)
+    rows = rows.where(F.col("length") < most)
     hist = rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     parts = hist.collect()  # at most most * salts counts
     counts = np.zeros(most + 1, dtype=np.int64)
@@ -207,4 +216,5 @@ def pack(pieces: DataFrame, scratch: Scratch, most: int = 2048, salts: int = 64)
 
     rank = F.row_number().over(W.partitionBy("length", "_salt").orderBy(*rest)) - 1
     kinds = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in rest)
-    return rows.withColumn("_rank", rank).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    placed = rows.withColumn("_rank", rank).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return placed.unionByName(whole.select(*rest, (F.lit(sequence) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
