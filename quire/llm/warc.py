@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch
+from .base import Scratch, lean, own_partitions
 from .shards import shard_of, splitters
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs, RFC 4122
@@ -24,6 +24,10 @@ MANIFEST = "shard int, file string, records long, bytes long, sha256 string, fir
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, file string"
 
 
+#: Files whose names and digests are sent to all executors, at most (about 200 bytes each).
+BROADCAST_FILES = 100_000
+
+
 def open_folder(uri: str):
     """File system and path of a folder, by the scheme of its uri; it must be one that all machines share."""
     from pyarrow import fs
@@ -85,11 +89,13 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, ident: str = "page_id
 
     Records are range-sorted by page_id into shards whose boundaries come from
     exact byte counts, so equal input gives equal files, byte for byte. In a
-    shard a new file begins when the compressed size reaches file_bytes. A task
-    writes under a temporary name and renames the whole file; a task that runs
-    again after a lost executor writes the same bytes to the same name. The
-    manifest is written last, by temporary name and rename: without it the
-    folder isn't committed.
+    shard a new file begins when the compressed size reaches file_bytes. Files
+    lie in a folder of this run, so none of another run is met. A task writes
+    under a temporary name and renames the whole file; a task that runs again
+    after a lost executor has the same bytes for the same name and leaves a file
+    that is there already. The manifest is written last, by temporary name and
+    rename: without it the folder isn't committed, and a reader sees the files
+    that it lists and no others.
 
     Payloads are exchanged once. Which records are revisits is found on ids and
     digests alone and sent to the shard, where it stands before its record.
@@ -106,9 +112,14 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, ident: str = "page_id
     known = revisits(keys, least)
     sized = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("_is", F.lit(1)).unionByName(known.withColumn("_is", F.lit(0)), allowMissingColumns=True).withColumn("_shard", _position(order, cuts))
     names = [c.split()[0] for c in MANIFEST.split(", ")]
+    part = f"run-{uuid.uuid4().hex}"
+    # Up to so many shards each has a task of its own; of more, a hash of small numbers is even enough.
+    dealt = F.element_at(F.array(*map(F.lit, own_partitions(scratch.spark, shards))), F.col("_shard") + 1) if shards <= 1024 else F.col("_shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         fs, root = open_folder(folder)
+        root = f"{root}/{part}"
         fs.create_dir(root, recursive=True)
         out: list[dict] = []
         now: dict | None = None
@@ -118,7 +129,10 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, ident: str = "page_id
             nonlocal now
             if now is not None:
                 stream.close()
-                fs.move(temp, f"{root}/{now['file']}")
+                if fs.get_file_info(name := f"{root}/{now['file']}").type.name == "File":
+                    fs.delete_file(temp)
+                else:
+                    fs.move(temp, name)
                 out.append(now | {"sha256": digest.hexdigest()})
                 now = None
 
@@ -146,9 +160,9 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, ident: str = "page_id
         if out:
             yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
-    dealt = sized.repartition(shards, "_shard").sortWithinPartitions("_shard", order, "payload_digest", "_is", "url")
+    dealt = sized.withColumn("_part", dealt).repartition(shards, "_part").drop("_part").sortWithinPartitions("_shard", order, "payload_digest", "_is", "url")
     made = scratch.keep(dealt.mapInArrow(run, MANIFEST), "manifest").orderBy("shard", "file")
-    commit(made, folder)
+    commit(made, folder, part)
     return made
 
 
@@ -165,12 +179,13 @@ def _position(key, cuts: list):
     return half(0, len(cuts)) if len(cuts) > 64 else shard_of(key, cuts)
 
 
-def commit(manifest: DataFrame, folder: str) -> None:
-    """Writes manifest.jsonl, a line a file (as many as files, not records), under a temporary name, and renames it."""
+def commit(manifest: DataFrame, folder: str, part: str) -> None:
+    """Writes manifest.jsonl, the run's folder and then a line a file (as many as files, not records), under a temporary name, and renames it."""
     fs, root = open_folder(folder)
     fs.create_dir(root, recursive=True)
     temp = f"{root}/.manifest.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temp, compression=None) as f:
+        f.write((json.dumps({"run": part}) + "\n").encode())
         for r in manifest.toLocalIterator():
             f.write((json.dumps(r.asDict(), sort_keys=True) + "\n").encode())
     fs.move(temp, f"{root}/manifest.jsonl")
@@ -192,15 +207,23 @@ def parse(data) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Records of all committed archives in folder; digests are checked against the bytes read, and a wrong one raises.
+    """Records of all archives that the folder's manifest lists; other files there are not looked at.
 
-    Files are read by Spark, one a task at most; payloads False leaves the
-    payload column null.
+    A file that is missing or has other bytes than the manifest says raises, and
+    so does a digest that differs from the bytes read. Files are read by Spark,
+    one a task at most; payloads False leaves the payload column null. A manifest
+    without files gives no records; a folder without one raises.
     """
     fs, root = open_folder(folder)
     if fs.get_file_info(f"{root}/manifest.jsonl").type.name != "File":
         raise FileNotFoundError(f"{folder} has no manifest, so it isn't committed")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
+    with fs.open_input_stream(f"{root}/manifest.jsonl", compression=None) as f:
+        part = json.loads(f.read().split(b"\n", 1)[0])["run"]
+    listed = spark.read.schema("file string, sha256 string").json(f"{folder}/manifest.jsonl").where("file is not null")
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(f"{folder}/{part}").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content") if fs.get_file_info(f"{root}/{part}").type.name == "Directory" else spark.createDataFrame([], "file string, content binary")
+    if not listed.join(there.select("file"), "file", "left_anti").isEmpty():
+        raise FileNotFoundError(f"{folder}: files of the manifest are not there")
+    files = there.join(F.broadcast(listed) if listed.count() <= BROADCAST_FILES else listed, "file")
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     names = [c.split()[0] for c in RECORD.split(", ")]
 
@@ -208,8 +231,11 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(kinds))], names)
 
+        lean()
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            for path, content, digest in zip(batch.column("file"), batch.column("content"), batch.column("sha256").to_pylist(), strict=True):
+                if hashlib.sha256(content.as_buffer()).hexdigest() != digest:
+                    raise ValueError(f"{path}: not as the manifest has it")
                 rows, held = [], 0
                 for head, block in parse(pa.BufferReader(content.as_buffer())):
                     if base64.b32encode(hashlib.sha1(block).digest()).decode() != head["warc-block-digest"].removeprefix("sha1:"):
@@ -221,7 +247,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                         if hashlib.sha1(payload).hexdigest() != digest or len(payload) != size:
                             raise ValueError(f"{path}: {head['warc-record-id']} has another payload digest")
                     number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
-                    rows.append((number("x-page-id"), head.get("warc-target-uri"), payload if payloads else None, size, digest, head["warc-type"], number("x-refers-to-page-id"), head["warc-record-id"], path.as_py().rsplit("/", 1)[-1]))
+                    rows.append((number("x-page-id"), head.get("warc-target-uri"), payload if payloads else None, size, digest, head["warc-type"], number("x-refers-to-page-id"), head["warc-record-id"], path.as_py()))
                     held += len(payload or b"") if payloads else 64
                     if held > 8 << 20:
                         yield batch_of(rows)
