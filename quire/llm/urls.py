@@ -48,21 +48,28 @@ def resolved(page: Column, to: Column) -> Column:
     return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(to.contains("://"), to)).when(to.rlike(r"^[?#]"), full).when(to != "", _without_dots(full))
 
 
+def normal(url: Column) -> Column:
+    """The url by which aliases are told: scheme and host in lower case (A-Z), without its fragment."""
+    start = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    return F.concat(lower(start), F.regexp_replace(F.substr(url, F.length(start) + 1), r"(?s)#.*$", ""))
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b) that pages state: canonical links and refreshes, after whatever delay, to another url.
+    """Edges (a, b) that pages state, of urls as ``normal`` has them: canonical links and refreshes, after whatever delay, to another url.
 
-    Attributes may stand in any order and with either quote or none. Relative
+    Canonical may stand among other words of rel. What stands in an HTML comment
+    is none. Attributes may stand in any order and with either quote or none. Relative
     targets are resolved against the page's url (``resolved``); base elements
     aren't read. Entities in targets: &amp; only.
     """
     page = F.coalesce(F.col(html), F.lit(""))
-    tags = F.regexp_extract_all(page, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
+    tags = F.regexp_extract_all(F.regexp_replace(page, r"(?s)<!--.*?(?:-->|$)", " "), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
     tag = F.col("tag")
     found = pages.where(F.col(url).isNotNull() & page.rlike(r"(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)")).select(F.col(url).alias("a"), F.explode(tags).alias("tag"))
-    canonical = F.when(tag.rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?\s*canonical\b"""), F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1))
+    canonical = F.when(tag.rlike(r"""(?is)^<link\b.*\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?:[\s/>]|$))"""), F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1))
     refresh = F.when(tag.rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?\s*([^"'\s>]+)""", 1))
     to = F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&"))
-    return found.select("a", resolved(F.col("a"), to).alias("b")).where("b is not null and a <> b")
+    return found.select(normal(F.col("a")).alias("a"), normal(resolved(F.col("a"), to)).alias("b")).where("b is not null and a <> b")
 
 
 #: Rules up to this number are part of the expression; more are joined by host.
@@ -114,15 +121,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], scratch: Scratch,
     urls with no edge. Component members need not be pages.
 
     Null urls and urls without :// have an empty host and path and fit no rule;
-    repeated urls and ids are separate rows with equal verdicts; other columns
-    are not read.
+    repeated urls and ids are separate rows with equal verdicts; an empty table
+    gives none; other columns are not read.
     """
-    rows = pages.select(*keep, F.col(url).alias("_url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    rows = pages.select(*keep, normal(F.col(url)).alias("_url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     edges = None
     if html is not None:
         edges = links(pages, url, html)
     if redirects is not None:
-        more = redirects.select("a", "b").where("a is not null and b is not null and a <> b")
+        more = redirects.select(normal(F.col("a")).alias("a"), normal(F.col("b")).alias("b")).where("a is not null and b is not null and a <> b")
         edges = more if edges is None else edges.unionByName(more)
     judged = rule_for(rows, rules)
     rule = F.concat(F.col("_rule.host"), F.col("_rule.path"))
