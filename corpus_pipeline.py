@@ -26,11 +26,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document of smallest doc_id of each component of five-word Jaccard similarity of 0.8 or more.
 
     Documents without words are no copies of one another, so each stays. Rows
-    that repeat both id and text are one document. Null ids come after all
-    others, so such a document stays only if no other of its component has one.
+    that repeat both id and text are one document. Ids that are no whole numbers
+    come after those that are, null ids after all others, so such a document stays only if no other of its component has one.
     """
-    order = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
-    ident = F.concat(F.coalesce(order, F.lit("~")), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))))
+    number = F.col("doc_id").try_cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")
+    order = F.coalesce(F.lpad(number.cast("string"), 20, "0"), F.concat(F.lit("~"), F.col("doc_id").cast("string")), F.lit("~~"))
+    ident = F.concat(order, F.lit(" "), F.md5(F.coalesce("text", F.lit(""))))
     named = docs.withColumn("_ident", ident)
     groups = jaccard.join(named, Scratch(spark, "near-copies"), ident="_ident", n=5, percent=80)
     stay = groups.where(F.col("_ident") == F.col("component_id")).select("_ident").distinct()
