@@ -13,22 +13,27 @@ from quire.functions import text as T
 GRAM = 7
 
 
-def grams(texts: DataFrame, key: str, n: int = GRAM, text: str = "text") -> DataFrame:
-    """key, pos and gram for each run of n tokens of each text."""
+def grams(texts: DataFrame, key: str, n: int = GRAM, text: str = "text", hashed: bool = False) -> DataFrame:
+    """key, pos and gram for each run of n tokens of each text; hashed: gram is a 64-bit hash of the tokens."""
     at = texts.select(key, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") >= n)
-    each = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.slice("w", i + 1, n)) if hashed else F.array_join(F.slice("w", i + 1, n), " "))
     return at.select(key, F.posexplode(each).alias("pos", "gram"))
 
 
 def lone(made: DataFrame) -> DataFrame:
-    """Grams that stand once in all texts of a side."""
-    return made.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in made.columns if c != "gram"]).where("_n = 1").drop("_n")
+    """Grams that stand once in all texts of a side, by the 64-bit hash that stands for them."""
+    return made.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in made.columns if c != "gram"]).where("_n = 1").drop("_n")
 
 
 def anchors(a: DataFrame, b: DataFrame, a_key: str, b_key: str, n: int = GRAM) -> DataFrame:
-    """Places of the grams that stand once on either side: a_key, a_pos, b_key, b_pos."""
-    x = lone(grams(a, a_key, n)).select("gram", a_key, F.col("pos").alias("a_pos"))
-    y = lone(grams(b, b_key, n)).select("gram", b_key, F.col("pos").alias("b_pos"))
+    """Places of the grams that stand once on either side: a_key, a_pos, b_key, b_pos.
+
+    Grams are exchanged and told apart by 64-bit hashes, as numbers of fixed
+    width: two different ones of 10^8 share one with a chance of 3 in 10^4.
+    Null texts and texts of fewer words have none; of equal texts none is lone.
+    """
+    x = lone(grams(a, a_key, n, hashed=True)).select("gram", a_key, F.col("pos").alias("a_pos"))
+    y = lone(grams(b, b_key, n, hashed=True)).select("gram", b_key, F.col("pos").alias("b_pos"))
     return x.join(y, "gram").drop("gram")
 
 

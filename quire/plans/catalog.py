@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import align, folios, idents, lines, notes, quality, words
+from quire.operators import align, folios, idents, lines, margins, notes, quality, runs, words
 from quire.sources import entities, html
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,8 @@ def s_key(x: str) -> str:
 
 
 def s_words(x: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all(lower(regexp_replace({x}, '\\[\\^\\d+(-\\d+)?\\]:?', ' ', 'g')), '{NWS}'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '')"
+    split = f"list_transform(regexp_extract_all(lower(regexp_replace({x}, '\\[\\^\\d+(-\\d+)?\\]:?', ' ', 'g')), '{NWS}'), lambda w: CASE WHEN regexp_matches(w, '{q(T.SLASHED)}') THEN string_split(w, '/') ELSE [w] END)"
+    return f"list_filter(list_transform(flatten({split}), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '')"
 
 
 def s_fold(x: str) -> str:
@@ -459,8 +460,8 @@ def section_split(t):
     return out.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_sections"), F.count_if((F.col("level") == 2) & (F.col("title") == "Part")).alias("n_parts"))
 
 
-COMMON_TLDS = ["com", "org", "net", "gov", "edu", "int", "info", "uk"]
-SECOND = ["co", "org", "gov", "ac", "com", "net"]
+COMMON_TLDS = T.COMMON_DOMAINS
+SECOND = T.SECOND_LEVEL
 
 
 @query(f"""WITH h AS (SELECT page_id, url, lower(regexp_extract(regexp_replace(url, '(?i)^[a-z][a-z0-9+.-]*://', ''), '^[^/?#:]*')) AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS p FROM h)
@@ -550,3 +551,97 @@ def publish_batches(t):
     from quire.operators import pages
 
     return pages.batches(t("documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes")), "source", "doc_id", "bytes", 20_000)
+
+
+S_TEXT = "regexp_replace({}, '<[^>]+>', ' ', 'g')"
+
+
+@query(f"""SELECT page_id, CAST(len(regexp_extract_all({S_TEXT.format("html")}, '{NWS}')) AS INTEGER) AS n_words, CAST(length(trim(regexp_replace({S_TEXT.format("html")}, '{WS}+', ' ', 'g'), ' ')) AS INTEGER) AS n_chars,
+ CAST(length(trim(regexp_replace({S_TEXT.format("'<h2>' || url || '</h2>' || html")}, '{WS}+', ' ', 'g'), ' ')) AS INTEGER) AS n_whole, CAST(length(trim(regexp_replace({S_TEXT.format("html")}, '{WS}+', ' ', 'g'), ' ')) AS INTEGER) AS n_intro FROM pages""")
+def html_lengths(t):
+    """Word counts and lengths of pages; a heading set before a page counts for the whole and not for its introduction."""
+    headed = F.concat(F.lit("<h2>"), "url", F.lit("</h2>"), "html")
+    return t("pages").select("page_id", T.html_word_count(F.col("html")).alias("n_words"), T.html_text_length(F.col("html")).alias("n_chars"), T.html_text_length(headed).alias("n_whole"), T.intro_length(headed).alias("n_intro"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, NOT regexp_matches(e, '[.?!:;\"'')\\]’”…]$') OR regexp_matches(e, '[a-z]-$') AS unfinished, regexp_matches(line, '{q(T.CITATION)}') AS citation FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '(\\[\\^[^\\]]*\\])+$', ''), '[*_]+$', ''), '{WS}+$', '') AS e FROM l)")
+def line_endings(t):
+    """Lines that stop in mid sentence, and lines that read as citations."""
+    return doc_lines(t).select("doc_id", "line_no", T.unfinished(F.col("line")).alias("unfinished"), T.citation(F.col("line")).alias("citation"))
+
+
+_TABLE = "replace(replace(text, ', ', '    '), '. ', chr(10))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_filter(string_split({_TABLE}, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\r\f\x0B]')) AS w FROM documents)
+SELECT doc_id, len(w) >= 8 AND len(list_filter(w, lambda x: regexp_matches(x, '{T.ALIGNED}'))) >= 0.25 * len(w) AS tabular FROM d""")
+def tabular_pages(t):
+    """Whole documents as pages, a line a sentence; commas stand for column boundaries."""
+    page = F.replace(F.replace("text", F.lit(", "), F.lit("    ")), F.lit(". "), F.lit("\n"))
+    return t("documents").select("doc_id", T.tabular_page(page).alias("tabular"))
+
+
+# Documents as pages: a line a sentence, set in by some columns, every third with a number before it.
+_PAGE = "repeat(' ', CAST(doc_id % 5 AS INTEGER)) || regexp_replace(replace(text, '. ', chr(10) || repeat(' ', CAST(doc_id % 5 AS INTEGER))), '(\\n *)([a-f])', '\\11.' || CAST(doc_id % 10 AS VARCHAR) || repeat(' ', CAST(2 + doc_id % 3 AS INTEGER)) || '\\2', 'g')"
+
+
+def pages_of(t):
+    text = F.replace("text", F.lit(". "), F.concat(F.lit("\n"), F.repeat(F.lit(" "), (F.col("doc_id") % 5).cast("int"))))
+    numbered = F.regexp_replace(text, F.lit("(\\n *)([a-f])"), F.concat(F.lit("$11."), (F.col("doc_id") % 10).cast("string"), F.repeat(F.lit(" "), (F.col("doc_id") % 3 + 2).cast("int")), F.lit("$2")))
+    return t("documents").select("doc_id", "source", F.concat(F.repeat(F.lit(" "), (F.col("doc_id") % 5).cast("int")), numbered).alias("text"))
+
+
+_OPEN = "'^[ \\t\\n\\r\\f\\x0B]{0,8}[0-9]{1,2}\\.[0-9]{1,3}[ \\x{FFFD}]{2,}[^ \\t\\n\\r\\f\\x0B]'"
+_MARGINS = f"""pl AS (SELECT doc_id, source, unnest(string_split({_PAGE}, chr(10))) AS line FROM documents),
+o AS (SELECT source, doc_id, length(regexp_extract(line, {_OPEN})) - 1 AS v, count(*) AS n FROM pl WHERE regexp_matches(line, {_OPEN}) GROUP BY ALL),
+own AS (SELECT source, doc_id, v AS opener FROM o QUALIFY row_number() OVER (PARTITION BY source, doc_id ORDER BY n DESC, v) = 1),
+i AS (SELECT doc_id, line, length(regexp_extract(line, '^{WS}*')) AS v FROM pl)"""
+
+
+@query(f"""WITH {_MARGINS}, s AS (SELECT doc_id, v, count(*) AS n FROM i WHERE regexp_matches(line, '[^ \\t\\n\\r\\f\\x0B]') GROUP BY ALL),
+b AS (SELECT doc_id, v, sum(n) OVER (PARTITION BY doc_id) AS m FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, v) = 1)
+SELECT d.doc_id, CAST(coalesce(opener, CASE WHEN m >= 8 THEN v END, 0) AS INTEGER) AS margin FROM documents d LEFT JOIN own ON d.doc_id = own.doc_id LEFT JOIN b ON d.doc_id = b.doc_id""")
+def page_margins(t):
+    return margins.page_margins(pages_of(t), "doc_id")
+
+
+@query(f"""WITH {_MARGINS}, s AS (SELECT doc_id, v, count(*) AS n FROM i WHERE len(string_split({s_norm("line")}, ' ')) > 3 GROUP BY ALL),
+b AS (SELECT doc_id, v, sum(n) OVER (PARTITION BY doc_id) AS m, min(v) OVER (PARTITION BY doc_id) AS lo FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, v) = 1)
+SELECT d.doc_id, CAST(coalesce(CASE WHEN m >= 15 AND v = lo AND v BETWEEN 2 AND 6 THEN v END, 0) AS INTEGER) AS margin FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id""")
+def shifted_margins(t):
+    return margins.shifted_margins(pages_of(t), "doc_id")
+
+
+@query(f"""WITH {_MARGINS}, c AS (SELECT source, doc_id % 2 AS side, opener, count(*) AS n FROM own GROUP BY ALL),
+f AS (SELECT source, side, opener AS v FROM c QUALIFY row_number() OVER (PARTITION BY source, side ORDER BY n DESC, opener) = 1)
+SELECT d.source, d.doc_id, CAST(coalesce(opener, x.v, y.v, 0) AS INTEGER) AS margin FROM documents d LEFT JOIN own ON d.doc_id = own.doc_id
+LEFT JOIN f x ON d.source = x.source AND d.doc_id % 2 = x.side LEFT JOIN f y ON d.source = y.source AND d.doc_id % 2 = 1 - y.side""")
+def facing_margins(t):
+    return margins.facing_margins(pages_of(t), "source", "doc_id")
+
+
+_SHOWN = "regexp_matches(line, '[^ \\t\\n\\r\\f\\x0B]')"
+
+
+@query(f"""WITH {LINES}, s AS (SELECT *, CASE WHEN {_SHOWN} THEN line END AS x FROM l), g AS (SELECT *, x IS NOT NULL AND lag(x) OVER w IS NULL AS begins FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no, last_value(x IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(x IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after,
+ CASE WHEN x IS NOT NULL THEN CAST(sum(CAST(begins AS INTEGER)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) END AS run FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""")
+def line_neighbours(t):
+    return runs.blank_runs(runs.neighbours(doc_lines(t).select("doc_id", "line_no", "line"), "doc_id"), "doc_id").drop("line")
+
+
+@query("""WITH p AS (SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 7919) % 1000 END AS position FROM documents),
+b AS (SELECT source, doc_id, coalesce(least(min(position) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 5000), 5000) AS x FROM p)
+SELECT source, doc_id, max(x) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS position FROM b""")
+def positions_clamped(t):
+    at = t("documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") * 7919 % 1000).alias("position"))
+    return runs.clamped(at, "source", "doc_id", "position", 5000)
+
+
+@query(f"""WITH a AS (SELECT source, doc_id, substr(text, 1, strpos(text || ' ', ' ') - 1) AS h FROM documents WHERE doc_id // 20 % 2 = 0), b AS (SELECT DISTINCT source, substr(text, 1, strpos(text || ' ', ' ') - 1) AS h FROM documents WHERE doc_id // 20 % 2 = 1),
+g AS (SELECT a.*, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source IS NOT DISTINCT FROM a.source AND b.h IS NOT DISTINCT FROM a.h))
+SELECT source, count(*) AS n_missing, array_to_string(list(h ORDER BY p) FILTER (p <= 10), '|') AS first FROM g GROUP BY source""")
+def headings_removed(t):
+    """First words of documents, by twenties of ids in turn, as headings before and after: what is gone, the first ten told."""
+    d = t("documents").select("source", "doc_id", F.substring_index("text", " ", 1).alias("h"))
+    return runs.missing_first(d.where("doc_id div 20 % 2 = 0"), d.where("doc_id div 20 % 2 = 1"), "source", "doc_id", "h").withColumn("first", F.array_join("first", "|"))

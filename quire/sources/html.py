@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
@@ -11,66 +12,75 @@ from pyspark.sql import functions as F
 
 from .entities import decode_entities, named
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>")
-_ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_REFERENCE = re.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);?")
+#: All that is no text, in one pattern: what is left out (comments, declarations, scripts and styles with their bodies),
+#: tags, and a < that opens nothing. What isn't closed goes on to the end.
+_MARK = re.compile(
+    r"""<!--.*?(?:-->|\Z) | <[!?].*?(?:>|\Z) | <(?P<raw>script|style)(?![a-z0-9])[^>]*>.*?(?:</(?P=raw)[^>]*>|\Z)
+      | <(?P<close>/?)(?P<name>[a-z][a-z0-9]*)(?P<rest>[^>]*)> | (?P<bare><)""",
+    re.S | re.X | re.I,
+)
+#: Longest tag; a < that is not closed within it is text.
+TAG = 4096
+_ATTRIBUTE = re.compile(r"""(?P<name>[^\s=/>]+)(?:\s*=\s*(?P<value>"[^"]*"|'[^']*'|[^\s>]+))?""")
+_REFERENCE = re.compile(r"&(?:#(?P<ten>\d+)|#x(?P<hex>[0-9a-f]+)|(?P<name>[a-z][a-z0-9]*));?", re.I | re.A)
 EVENTS = "page_id long, pos int, kind string, tag string, attrs map<string,string>, text string"
 
 
-def decode(text: str) -> str:
-    """All character references; numbers of 128 to 159 by code page 1252, unknown names as they stand."""
-    import html
-
-    def one(m: re.Match) -> str:
-        body = m[1]
-        if body[0] == "#":
-            code = int(body[2:], 16) if body[1] in "xX" else int(body[1:])
-            if 0x80 <= code <= 0x9F:
-                return bytes([code]).decode("cp1252", "replace").replace("�", chr(code))
-            return chr(code) if code < 0x110000 else m[0]
-        for name in (body, body.lower()):
+def _character(m: re.Match) -> str:
+    if m["name"]:
+        for name in (m["name"], m["name"].lower()):
             if name == "nbsp":
                 return named(name)
-            if (c := html.unescape(f"&{name};")) != f"&{name};" and not c.endswith(";"):
+            c = html.unescape(f"&{name};")
+            if c != f"&{name};" and not c.endswith(";"):
                 return c
         return m[0]
+    code = int(m["ten"]) if m["ten"] else int(m["hex"], 16)
+    if code > 0x10FFFF:
+        return m[0]
+    try:  # numbers of the second control block are meant as code page 1252
+        return bytes([code]).decode("cp1252") if 0x80 <= code < 0xA0 else chr(code)
+    except UnicodeDecodeError:
+        return chr(code)
+
+
+def decode(text: str) -> str:
+    """All character references; numbers of 128 to 159 by code page 1252, unknown names as they stand."""
+    return _REFERENCE.sub(_character, text) if "&" in text else text
+
 
-    return _REFERENCE.sub(one, text)
+def attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag by their names in lower case; of a repeated name the last, and empty without a value."""
+    out = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        value = m["value"] or ""
+        if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]:
+            value = value[1:-1]
+        out[m["name"].lower()] = decode(value)
+    return out
 
 
 def events(source: str) -> Iterator[tuple[str, str | None, dict | None, str | None]]:
     """(kind, tag, attributes, text) in order. Comments, declarations and the bodies of script and style are left out; a bare < is text."""
-    at = 0
-    while at < len(source):
-        lt = source.find("<", at)
-        if lt != at and (said := source[at : lt if lt >= 0 else len(source)]):
-            yield "text", None, None, decode(said)
-        if lt < 0:
-            return
-        if source.startswith("<!--", lt):
-            end = source.find("-->", lt + 4)
-            at = len(source) if end < 0 else end + 3
-        elif source[lt + 1 : lt + 2] in ("!", "?"):
-            end = source.find(">", lt)
-            at = len(source) if end < 0 else end + 1
-        elif not (m := _TAG.match(source, lt, lt + 4096)):
+    text = lambda a, b: [("text", None, None, decode(source[a:b]))] if a < b else []
+    done = at = 0
+    while m := _MARK.search(source, at):
+        yield from text(done, m.start())
+        done = at = m.end()
+        if m["bare"] or (m["name"] and len(m[0]) > TAG):
             yield "text", None, None, "<"
-            at = lt + 1
-        else:
-            tag, at = m[2].lower(), m.end()
-            if m[1]:
+            done = at = m.start() + 1
+        elif m["name"] and m["close"]:
+            yield "end", m["name"].lower(), None, None
+        elif m["name"]:
+            tag = m["name"].lower()
+            yield "start", tag, attributes(m["rest"]), None
+            if m["rest"].rstrip().endswith("/"):
                 yield "end", tag, None, None
-            elif tag in ("script", "style"):
-                close = re.compile(f"</{tag}", re.I).search(source, at)
-                end = source.find(">", close.start()) if close else -1
-                at = end + 1 if end >= 0 else len(source)
-            else:
-                yield "start", tag, {a[1].lower(): decode(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])}, None
-                if re.search(r"/\s*$", m[3]):
-                    yield "end", tag, None, None
+    yield from text(done, len(source))
 
 
-def html_events(pages: DataFrame, ident: str = "page_id", html: str = "html") -> DataFrame:
+def html_events(pages: DataFrame, ident: str = "page_id", source: str = "html") -> DataFrame:
     """A row for each event of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +91,7 @@ def html_events(pages: DataFrame, ident: str = "page_id", html: str = "html") ->
             cols[4] = [list(a.items()) if a is not None else None for a in cols[4]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "pos", "kind", "tag", "attrs", "text"])
 
-    return pages.select(ident, html).mapInArrow(run, EVENTS)
+    return pages.select(ident, source).mapInArrow(run, EVENTS)
 
 
 def without_hidden(t: Column) -> Column:

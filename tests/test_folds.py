@@ -69,10 +69,32 @@ def test_html_events():
     assert list(html.events("")) == []
 
 
+def test_html_events_of_broken_pages():
+    texts = lambda x: [(k, t or s) for k, t, _, s in html.events(x)]
+    assert texts("a<!-- b") == [("text", "a")]
+    assert texts("a<!doctype x>b<?y?>c") == [("text", "a"), ("text", "b"), ("text", "c")]
+    assert texts("<SCRIPT src=x>if (a</b>) <p></script >t<style>u") == [("text", "t")]
+    assert texts("<p" + " a" * 3000 + ">x") == [("text", "<"), ("text", "p" + " a" * 3000 + ">x")]
+    assert texts("1 < 2") == [("text", "1 "), ("text", "<"), ("text", " 2")]
+    assert list(html.events("<a HREF='x&amp;y' b=\"1\" c=d/e f g='h'/>"))[0][2] == {"href": "x&y", "b": "1", "c": "d/e", "f": "", "g": "h"}
+    assert html.decode("&amp;lt; &#65;&#x41; &#151; &#9999999; &Eacute;&EACUTE; &bogus; &nbsp;. AT&T &lt") == "&lt; AA — &#9999999; Éé &bogus;  . AT&T <"
+
+
+def test_html_events_of_anything():
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from(["<", ">", "<p>", "</p>", "<br/>", "<!--", "-->", "<script>", "</script>", "a", " ", "&amp;", "<i x='>'"]), max_size=12))
+    def run(parts):
+        got = list(html.events("".join(parts)))
+        assert all(k in ("start", "end", "text") for k, *_ in got) and all(s for k, _, _, s in got if k == "text")
+
+    run()
+
+
 def fnv(text):
     h = 0x811C9DC5
-    for c in text:
-        h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+    raw = text.encode("utf-16-be")
+    for hi, lo in zip(raw[::2], raw[1::2], strict=True):
+        h = (h ^ (hi << 8 | lo)) * 0x01000193 & 0xFFFFFFFF
     return f"{h:08x}"
 
 
@@ -81,14 +103,35 @@ def test_fingerprints(spark):
 
     from quire.functions import text as T
 
-    texts = ["a", "foobar", "é", "Ça va, naïve  Über!", "", None]
+    texts = ["a", "foobar", "é", "Ça va, naïve  Über!", "\U00020000", "ﬁ ǅ Ễ", "", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.fingerprint(F.col("t"))).collect()]
 
     def apart(t):
         return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in unicodedata.normalize("NFKD", t.lower()))
 
     assert got == [None if t is None else fnv(" ".join(apart(t).split())) for t in texts]
-    assert got[:2] == ["e40c292c", "bf9cf968"]
+    assert got[:2] == ["e40c292c", "bf9cf968"] and got[4] == "b722598d"
+
+
+def test_text_predicates(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import text as T
+
+    def of(f, values):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+        return [r[0] for r in df.orderBy("i").select(f(F.col("t"))).collect()]
+
+    url = lambda c: T.plausible_url(c, T.COMMON_DOMAINS, T.SECOND_LEVEL)
+    assert of(url, ["two.ls", "www.levesoninquiry", "org.uk/wp-content/x", "nhs.uk", "a.mil", "guardian.co.uk", "http://x.fr", "x.fr", "ft.com/a-", None]) == [False, False, False, False, True, True, True, False, False, None]
+    assert of(T.plain_words, ["OTHER/NUC (food/nutrition), http://a/b 1/2 it's[^3]", "", None]) == [["other", "nuc", "food", "nutrition", "httpab", "12", "its"], [], None]
+    assert of(T.unfinished, ["It ends.", "at that time.”[^85-5]", "*it goes on*", "a bro-", "An end…", "", None]) == [False, False, True, True, False, True, None]
+    assert of(T.citation, ["GS MBS-E-011184213", "PSI_QFR_GS0249", "OTSWMEF-0000031969", "UBS-CT 021485", "Hearing Exhibit 1", "In 2009 the bank", None]) == [True, True, True, True, True, False, None]
+    assert of(T.html_word_count, ["<p>one <b>two</b></p>three", "", None]) == [3, 0, None]
+    assert of(T.html_text_length, ["<p>one</p> <b>two</b>", None]) == [7, None]
+    assert of(T.intro_length, ['<h2 id="a">Head\nof</h2>Text <a class="page-marker" href="#">12</a>on', None]) == [7, None]
+    rows = ["a    b"] * 2 + ["plain line"] * 6
+    assert of(T.tabular_page, ["\n".join(rows), "\n\n".join(rows[1:]), "\n".join(rows[1:] + ["x"]), None]) == [True, False, False, None]
 
 
 def test_corrections_and_rejoin(spark):
@@ -142,3 +185,53 @@ def test_columns_over_pages(spark):
     assert df.select(pages.exemption_codes(F.col("t")).alias("c")).first()["c"] == ["(b) (6)", "(b) (7)(C)"]
     files = spark.createDataFrame([("k", i, n) for i, n in enumerate([5, 5, 9, 30, 1])], "k string, o long, n long")
     assert [r["batch"] for r in pages.batches(files, "k", "o", "n", 10).orderBy("o").collect()] == [0, 0, 1, 2, 3]
+
+
+def test_merge_guards(spark):
+    from pyspark.sql import functions as F
+
+    from quire.functions import text as T
+    from quire.operators import margins
+
+    def of(f, values):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+        return [r[0] for r in df.orderBy("i").select(f(F.col("t"))).collect()]
+
+    assert of(T.ends_sentence, ["He left.", 'He said "go."', "See Mr.", "Donald J.", "and then", "as follows:", "(See p.", None]) == [True, True, False, False, False, True, False, None]
+    assert of(T.introduces, ["He said:414", "suggested that:[^605]", "He said", "Done.", None]) == [True, True, False, True, None]
+    assert of(T.caption, ["FIGURE 2.4: Wells", "Source: staff", "Figures show", " Fig. 3", None]) == [True, True, False, True, None]
+    assert of(T.photo_credit, ["Mark Wilson/Getty Images", "Patrick Semansky/Associated Press", "a/B", "Mark Wilson/Getty,", "It was he/She.", None]) == [True, True, False, False, False, None]
+    assert of(T.title_cased, ["The Capture of Ramzi bin al-Shibh", "The capture of one man", "One", None]) == [False, False, False, None]
+    assert of(T.title_cased, ["The Capture of Ramzi Bin"]) == [True]
+    assert of(margins.asterisks_apart, ["a\n* * *\nb", "a\n\n***\n\nb", "***\nb", "a\n ** \nb", None]) == ["a\n\n* * *\n\nb", "a\n\n***\n\nb", "***\n\nb", "a\n ** \nb", None]
+
+
+def test_margins(spark):
+    from quire.operators import margins
+
+    numbered = "\n".join(["1.1   text here", "1.2   more text", "  1.3  other"])
+    prose = "\n".join(["    four words or more"] * 16)
+    rows = [("v", 1, numbered), ("v", 2, "no number"), ("v", 3, None), ("v", 4, prose), (None, 5, prose + "\n  out of the line"), ("w", 7, "\n".join(["x"] * 7 + ["  y"]))]
+    pages = spark.createDataFrame(rows, "vol string, page long, text string")
+    get = lambda df: {r["page"]: r["margin"] for r in df.collect()}
+    assert get(margins.page_margins(pages, "vol", "page", fallback=9)) == {1: 6, 2: 9, 3: 9, 4: 4, 5: 4, 7: 0}
+    assert get(margins.shifted_margins(pages, "vol", "page")) == {1: 0, 2: 0, 3: 0, 4: 4, 5: 0, 7: 0}
+    assert get(margins.facing_margins(pages, "vol", "page", fallback=9)) == {1: 6, 2: 6, 3: 6, 4: 6, 5: 9, 7: 9}
+    assert margins.page_margins(pages.limit(0), "vol", "page").count() == 0
+
+
+def test_runs(spark):
+    from quire.operators import runs
+
+    said = ['"He goes', "", "on and on”", "- a", "b", None, "‘x", "y"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(said)], "page long, line_no int, line string")
+    assert [r["opens"] for r in runs.open_quotations(lines, "page").orderBy("line_no").collect()] == [False, False, False, False, False, False, True, False]
+    assert [r["run"] for r in runs.blank_runs(lines, "page").orderBy("line_no").collect()] == [1, None, 2, 2, 2, None, 3, 3]
+    assert [r["inside"] for r in runs.runs_opened_by(lines, "page", "^on").orderBy("line_no").collect()] == [False, False, True, True, True, False, False, False]
+    at = spark.createDataFrame([("v", i, p) for i, p in enumerate([5, None, 3, 9, None])], "v string, o int, p int")
+    assert [r["p"] for r in runs.clamped(at, "v", "o", "p", 50).orderBy("o").collect()] == [3, 3, 3, 9, 50]
+    a = spark.createDataFrame([("k", i, x) for i, x in enumerate("aabcd")], "k string, o int, v string")
+    b = spark.createDataFrame([("k", 0, "c"), ("k", 1, "c")], "k string, o int, v string")
+    assert [tuple(r) for r in runs.missing_first(a, b, "k", "o", "v", 3).collect()] == [("k", 4, ["a", "a", "b"])]
+    for f in (runs.neighbours, runs.blank_runs, runs.open_quotations):
+        assert f(lines.limit(0), "page").count() == 0
