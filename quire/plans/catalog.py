@@ -105,11 +105,12 @@ def furniture_stripped(t):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT doc_id, source, line_no, CAST(length(line) AS BIGINT) AS number FROM l WHERE line_no < 2),
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, source, line_no, CAST(length(line) AS BIGINT) AS number FROM l),
 w AS (SELECT source, line_no, CASE WHEN abs(number - lag(number) OVER p - (doc_id - lag(doc_id) OVER p)) <= 1 THEN 1 WHEN lag(doc_id) OVER p IS NOT NULL THEN 0 END AS ok FROM s WINDOW p AS (PARTITION BY source, line_no ORDER BY doc_id))
 SELECT source, line_no, count(*) AS pairs, CAST(sum(ok) AS BIGINT) AS in_step, 2 * sum(ok) >= count(*) AS tracks FROM w WHERE ok IS NOT NULL GROUP BY source, line_no""")
-def numbers_in_step(t):
-    at = doc_lines(t).where("line_no < 2").select("source", "line_no", F.col("doc_id").alias("index"), F.length("line").cast("long").alias("number"))
+def line_numbers_in_step(t):
+    """The length of a line stands for a number at its place; every place of the whole texts is weighed."""
+    at = doc_lines(t).select("source", "line_no", F.col("doc_id").alias("index"), F.length("line").cast("long").alias("number"))
     return lines.pages_in_step(at, ["source", "line_no"])
 
 
@@ -235,14 +236,15 @@ def whole_word_counts(t):
     return words.word_counts(broken)
 
 
-@query(f"""WITH b AS (SELECT doc_id, {s_broken()} AS text FROM documents), v AS (SELECT word, count(*) AS n FROM ({VOCAB_SQL.format('benchmark')}) WHERE length(word) > 2 GROUP BY word),
+@query(f"""WITH b AS (SELECT doc_id, {s_broken()} AS text FROM documents), u AS (SELECT regexp_replace(text, '{words.BREAK}', ' ', 'g') AS text FROM b), v AS (SELECT word, count(*) AS n FROM ({VOCAB_SQL.format('u')}) WHERE length(word) > 2 GROUP BY word),
 x AS (SELECT unnest(regexp_extract_all(text, '{words.BREAK}')) AS whole FROM b),
 y AS (SELECT regexp_extract(whole, '{words.BREAK}', 1) AS head, regexp_extract(whole, '{words.BREAK}', 2) AS tail FROM x)
 SELECT CASE WHEN j.word IS NOT NULL THEN head || tail WHEN h.word IS NOT NULL THEN head || '-' || tail END AS spelling, count(*) AS n
 FROM y LEFT JOIN v j ON lower(head || tail) = j.word LEFT JOIN v h ON lower(head || '-' || tail) = h.word GROUP BY 1""")
-def hyphen_rejoin(t):
+def hyphens_rejoined(t):
+    """Broken words of documents, spelt by the words that stand unbroken in documents."""
     broken = t("documents").select("doc_id", F.regexp_replace("text", "([a-z]{4})([a-z]{3,9}) ", "$1- $2 ").alias("text"))
-    out = words.rejoin(words.breaks(broken, "doc_id"), words.word_counts(t("benchmark"), whole=False))
+    out = words.rejoin(words.breaks(broken, "doc_id"), words.word_counts(broken))
     return out.groupBy("spelling").agg(F.count(F.lit(1)).alias("n"))
 
 
