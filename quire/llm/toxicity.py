@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .base import Scratch, lean
+from .base import Scratch, lean, trim
 
 #: Words are runs of ASCII letters and of all characters beyond ASCII.
 LETTERS = np.zeros(256, dtype=bool)
@@ -253,23 +253,25 @@ def fit(texts: list[str], ys: np.ndarray, share: float) -> Models:
 
     Without texts of both classes every text gets the share of toxic labels.
     """
-    model = Models(texts, ys)
     share = min(max(share, 1e-4), 1 - 1e-4)
+    curve = None
+    if min(int((ys == 0).sum()), int((ys == 1).sum())) > 1:
+        half = np.zeros(len(ys), dtype=np.int64)
+        for k in (0, 1):
+            half[np.flatnonzero(ys == k)[1::2]] = 1
+        x = np.zeros(len(ys))
+        for k in (0, 1):  # one model at a time is held
+            seen, new = np.flatnonzero(half != k), np.flatnonzero(half == k)
+            x[new] = Models([texts[i] for i in seen], ys[seen]).means(pa.array([texts[i] for i in new], pa.string()))
+            trim()
+        curve = logistic(bend(x), ys, share)
+    model = Models(texts, ys)
     model.share = share
-    flat = float(np.log(share / (1 - share)))
-    if min(int((ys == 0).sum()), int((ys == 1).sum())) < 2:
-        model.curve = (0.0, flat)
-        model.share = float(1 / (1 + np.exp(-flat)))
-        return model
-    half = np.zeros(len(ys), dtype=np.int64)
-    for k in (0, 1):
-        half[np.flatnonzero(ys == k)[1::2]] = 1
-    x = np.zeros(len(ys))
-    for k in (0, 1):
-        seen, new = np.flatnonzero(half != k), np.flatnonzero(half == k)
-        x[new] = Models([texts[i] for i in seen], ys[seen]).means(pa.array([texts[i] for i in new], pa.string()))
-    a, b = logistic(bend(x), ys, share)
-    model.curve = (max(a, 0.0), b)
+    if curve is None:
+        flat = float(np.log(share / (1 - share)))
+        model.curve, model.share = (0.0, flat), float(1 / (1 + np.exp(-flat)))
+    else:
+        model.curve = (max(curve[0], 0.0), curve[1])
     return model
 
 
@@ -322,11 +324,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
     rows, share = sample(docs, labels, text, ident, label, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         parts = [b for b in batches if b.num_rows]
         got = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("t", "ascending")]) if parts else None
         made = pickle.dumps(fit(got["t"].to_pylist() if got else [], got["y"].to_numpy().astype(np.int64) if got else np.zeros(0, np.int64), share), protocol=5)
         for k in range(0, len(made), PART_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array([k // PART_BYTES], pa.int32()), pa.array([made[k : k + PART_BYTES]], pa.binary())], ["part", "data"])
+        del got, made, parts
+        trim()
 
     scratch = Scratch(docs.sparkSession, "toxicity")
     scratch.keep(rows.repartition(1).mapInArrow(run, "part int, data binary"), "model")
