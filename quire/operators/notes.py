@@ -49,3 +49,45 @@ def decided(cases: DataFrame, cache: DataFrame, request: str, by_rule: str) -> D
     keyed = cases.withColumn("key", request_key(F.col(request)))
     out = keyed.join(cache.select("key", F.col("join").alias("_a")), "key", "left")
     return out.withColumn("cached", F.col("_a").isNotNull()).withColumn("join", F.coalesce("_a", by_rule)).drop("_a")
+
+
+# Contexts in which a number behind a mark is no note. Before the number: abbreviations that cite one, leaders, months, numbers in a list; after it: months, telephone numbers, counts, reporters and codes.
+_GAP = r"(?:(?!\n[ \t]*\n)\s)"
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_BEFORE = [
+    r"(?<!(?<![A-Za-z0-9_])(?i:nos?|nn?|pp?|art|ch|sec|para|vol|ex|fig|tbl|id|at|see)\.)",
+    r"(?<!\.\s?\.\s?\.\s?\.\s?\.)",
+    r"(?<!(?<![A-Za-z0-9_])(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)\.)",
+    r"(?<![0-9][0-9-]{0,20},\s?[0-9][0-9-]{0,20},)",
+    rf"(?!(?<=(?<![A-Za-z0-9_])(?:{_MONTHS}|Jan\.|Feb\.|Mar\.|Apr\.|Jun\.|Jul\.|Aug\.|Sept?\.|Oct\.|Nov\.|Dec\.)\s[0-9]{{1,2}},){_GAP}+(?:1[89]|20)[0-9]{{2}}(?=\s|$))",
+    rf"(?!(?<=,){_GAP}+[0-9]{{1,4}}\s+(?:years?|months?|weeks?|days?|hours?|minutes?|seconds?|percent|per\s?cent|times|million|billion|thousand|hundred)(?![A-Za-z0-9_]))",
+    rf"(?!(?<=[0-9],){_GAP}+[0-9]{{1,4}}\s*(?:(?:and|or|to)\s+[0-9]|[-–]\s*[0-9]|\())",
+]
+_AFTER = [
+    rf"(?!(?:(?!\n[ \t]*\n)[\s,]){{0,4}}(?:(?i:and){_GAP}{{1,20}}[0-9]{{1,2}}(?:(?!\n[ \t]*\n)[\s,]){{0,4}})?(?i:{_MONTHS})(?![A-Za-z0-9_]))",
+    r"(?!\s+[0-9]{4}\s+[0-9]{4}(?![A-Za-z0-9_]))",
+    r"(?!\s+(?i:out\s+of)(?![A-Za-z0-9_]))",
+    r"(?!\s+(?!(?:Ibid|Id)\.)(?:(?:[A-Z][A-Za-z]{0,5}\.\s?){1,4}\s*[0-9]|[A-Z]{2,6}\s[0-9]{1,4}(?![0-9-])))",
+    r"(?!\s+of\s)",
+    r"(?!\s+(?:U\.S\.C|C\.F\.R)(?![A-Za-z0-9_]))",
+]
+MARKED = r"(?<=[.,;:!?\"')])" + "".join(_BEFORE) + rf"({_GAP}+)([1-9][0-9]{{0,3}})(?=\s|$)" + "".join(_AFTER)
+
+
+def linked(text: Column, known: Column) -> Column:
+    """A text whose known note numbers behind a mark and white space are references [^N].
+
+    known: an array of numbers; null is none. Numbers in other contexts (see
+    above), behind a blank line or with a leading zero stay. Words are of ASCII letters, so an accented letter ends one.
+    The characters 1 to 3 become spaces. Null for null.
+    """
+    known = F.coalesce(known.cast("array<int>"), F.array().cast("array<int>"))
+    parts = F.split(F.regexp_replace(F.translate(text, "\x01\x02\x03", "   "), MARKED, "\x01$1\x02$2\x03"), "\x01")
+
+    def one(part: Column, k: Column) -> Column:
+        gap, behind = F.substring_index(part, "\x02", 1), F.substring_index(part, "\x02", -1)
+        digits, rest = F.substring_index(behind, "\x03", 1), F.substring_index(behind, "\x03", -1)
+        is_note = F.array_contains(known, digits.try_cast("int"))
+        return F.when(k == 0, part).when(is_note, F.concat(F.lit("[^"), digits, F.lit("]"), rest)).otherwise(F.concat(gap, digits, rest))
+
+    return F.array_join(F.transform(parts, one), "")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import align, folios, idents, lines, margins, notes, quality, runs, words
+from quire.operators import align, folios, headings, idents, lines, margins, notes, printed, quality, runs, words
 from quire.sources import entities, html
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -647,3 +647,155 @@ def headings_removed(t):
     """First words of documents, by twenties of ids in turn, as headings before and after: what is gone, the first ten told."""
     d = t("documents").select("source", "doc_id", F.substring_index("text", " ", 1).alias("h"))
     return runs.missing_first(d.where("doc_id div 20 % 2 = 0"), d.where("doc_id div 20 % 2 = 1"), "source", "doc_id", "h").withColumn("first", F.array_join("first", "|"))
+
+
+# Lines of documents as headings of every kind: capitals, divisions, numbered and lettered titles, plain lines.
+_ASCII = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_HEADS = f"""{LINES}, hl AS (SELECT doc_id, line_no, CASE (doc_id + line_no) % 6 WHEN 0 THEN translate(substr(line, 1, 30), {_ASCII}) WHEN 1 THEN 'Part 3: ' || substr(line, 1, 40) WHEN 2 THEN '4. ' || translate(substr(line, 1, 30), {_ASCII})
+ WHEN 3 THEN 'B. Report On The ' || substr(line, 1, 20) || ' 12' WHEN 4 THEN 'Chapter IV ' || substr(line, 1, 25) || '    17' ELSE line END AS line FROM l)"""
+
+
+def head_lines(t):
+    line, k = F.col("line"), (F.col("doc_id") + F.col("line_no")) % 6
+    caps = F.translate(F.substring(line, 1, 30), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    made = F.when(k == 0, caps).when(k == 1, F.concat(F.lit("Part 3: "), F.substring(line, 1, 40))).when(k == 2, F.concat(F.lit("4. "), caps))
+    made = made.when(k == 3, F.concat(F.lit("B. Report On The "), F.substring(line, 1, 20), F.lit(" 12"))).when(k == 4, F.concat(F.lit("Chapter IV "), F.substring(line, 1, 25), F.lit("    17")))
+    return doc_lines(t).select("doc_id", "line_no", made.otherwise(line).alias("line"))
+
+
+def s_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def s_all(words: str, pattern: str, small: list[str]) -> str:
+    return f"len(list_filter({words}, lambda w: NOT (regexp_matches(w, '{q(pattern)}') OR lower(w) IN ({', '.join(map(repr, small))})))) = 0"
+
+
+def s_titular(x: str) -> str:
+    words = f"list_filter(regexp_extract_all({x}, '{NWS}'), lambda w: regexp_matches(w, '[A-Za-z]'))"
+    return f"(NOT regexp_matches({x}, '{headings.LOWER}') OR (len({words}) >= 2 AND len(list_filter({words}, lambda w: regexp_matches(w, '^[A-Z]'))) * 10 >= len({words}) * 6))"
+
+
+_BODY = f"b AS (SELECT *, CASE WHEN regexp_matches(s, '{headings.OWN_NUMBER}') OR regexp_matches(s, '{headings.YEARS}') THEN s ELSE {s_strip(f"regexp_replace(s, '{WS}+[0-9]{{1,4}}$', '')")} END AS body FROM (SELECT *, {s_strip('line')} AS s FROM hl))"
+
+
+@query(f"""WITH {_HEADS}, {_BODY}, c AS (SELECT *, regexp_extract(body, '{headings.DIVISION}', 1) AS kind, regexp_extract(body, '{headings.DIVISION}', 2) AS num, {s_strip(f"regexp_replace(regexp_extract(body, '{headings.DIVISION}', 3), '^:', '')")} AS rest,
+ {s_strip(f"regexp_extract(body, '{headings.NUMBERED}', 1)")} AS title, length(regexp_replace(body, '[^A-Za-z]', '', 'g')) AS letters FROM b),
+k AS (SELECT *, CASE WHEN body = '' OR regexp_matches(s, '{headings.LISTED}') OR len(regexp_extract_all(body, '{NWS}')) > 14 OR regexp_matches(body, '[;:,\\-{chr(0xAD)}{chr(0x2010)}]$') THEN 0
+ WHEN regexp_matches(rest, '^["''(A-Z0-9]') AND NOT regexp_matches(rest, '[.,;]$') THEN 1
+ WHEN regexp_matches(title, '^[A-Z]') AND NOT regexp_matches(title, '[.?!]$') AND {s_titular('title')} AND len(list_filter(regexp_extract_all(title, '{NWS}'), lambda w: regexp_matches(w, '^[a-z]') AND lower(w) NOT IN ({', '.join(map(repr, headings.SMALL))}))) = 0 THEN 2
+ WHEN letters >= 4 AND NOT regexp_matches(body, '{headings.LOWER}') AND NOT regexp_matches(body, '\\.$|[$%]|[0-9]{{3}}') AND len(regexp_extract_all(body, ',')) < 2 AND letters * 10 > length(body) * 6 AND (regexp_matches(body, '{WS}') OR (letters >= 5 AND NOT regexp_matches(body, '[-0-9]'))) THEN 3 ELSE 0 END AS k FROM c)
+SELECT doc_id, line_no, CAST(CASE k WHEN 1 THEN CASE WHEN kind IN ('Part', 'Appendix', 'Annex', 'Volume') THEN 2 ELSE 3 END WHEN 2 THEN CASE WHEN regexp_matches(title, '{headings.LOWER}') THEN 3 ELSE 2 END ELSE 2 END AS INTEGER) AS level,
+ CASE k WHEN 1 THEN kind || ' ' || num || ': ' || rest WHEN 2 THEN title ELSE body END AS heading FROM k WHERE k > 0""")
+def heading_lines(t):
+    """Lines that are headings, with their levels and what of them is the heading."""
+    at = head_lines(t).withColumn("h", headings.heading(F.col("line"))).where("h IS NOT NULL")
+    return at.select("doc_id", "line_no", F.col("h.level").alias("level"), F.col("h.text").alias("heading"))
+
+
+@query(f"""WITH {_HEADS}, {_BODY}, n AS (SELECT *, {s_norm('line')} AS nl FROM b)
+SELECT doc_id, line_no, body AS without_page, {s_titular('line')} AS titular, regexp_matches(s, '(?i){headings.NO_WORD}(?:{"|".join(headings.DANGLING)})$') AS dangles,
+ regexp_matches(s, '^[0-9]{{1,3}}[.)][0-9]{{1,3}}{WS}+') AND NOT regexp_matches(s, '^[0-9]{{1,3}}[.)][0-9]{{1,3}}{WS}+(?:{headings.UNITS})(?:[^A-Za-z0-9_]|$)') AS numbered,
+ CASE WHEN regexp_matches(nl, '^[A-Z]') AND len(regexp_extract_all(nl, '{NWS}')) <= 6 AND NOT regexp_matches(nl, '[.?!:;,]$') AND NOT regexp_matches(nl, '^(?:[IVXLC]{{1,6}}|[A-Z]|[0-9]{{1,2}})\\.{WS}') AND {s_all(f"regexp_extract_all(nl, '{NWS}')", "^[A-Z(\"'“]", headings.SMALL)} THEN nl END AS tail,
+ lower(regexp_replace(regexp_replace(nl, '{headings.MARKER}', ''), '[. \t\n\r\f\x0B]+$', '')) AS key, {" OR ".join(f"regexp_matches(line, '{x}')" for x in headings.SECTION)} AS keeps FROM n""")
+def heading_guards(t):
+    """What the guards of headings say of each line."""
+    c = F.col("line")
+    return head_lines(t).select("doc_id", "line_no", headings.without_page(c).alias("without_page"), headings.titular(c).alias("titular"), headings.dangles(c).alias("dangles"), headings.numbered_opening(c).alias("numbered"), headings.heading_tail(c).alias("tail"), headings.heading_key(c).alias("key"), headings.keeps_section(c, F.lit(False)).alias("keeps"))
+
+
+_LISTS = "replace(replace(text, '. ', ' ..... 7' || chr(10)), ', ', chr(10) || 'p. 12   ')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split({_LISTS}, chr(10)) AS w FROM documents)
+SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '{headings.LEADER}'))) >= 3 AS contents, len(list_filter(w, lambda x: regexp_matches(x, '{headings.PAGE_FIRST}'))) >= 3 AS illustrations FROM d""")
+def listing_pages(t):
+    """Whole documents as pages: sentences end in leaders and a page, commas open entries of illustrations."""
+    page = F.replace(F.replace("text", F.lit(". "), F.lit(" ..... 7\n")), F.lit(", "), F.lit("\np. 12   "))
+    return t("documents").select("doc_id", headings.contents_page(page).alias("contents"), headings.illustration_list(page).alias("illustrations"))
+
+
+_SUBHEADS = "s AS (SELECT doc_id, unnest(generate_series(1, len(a))) AS i, a FROM (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10) || chr(10) || 'The Next of ' || substr(text, 1, 9) || chr(10)), chr(10)) AS a FROM documents)), sl AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, repeat(' ', CAST(doc_id % 3 * 12 AS INTEGER)) || a[i] AS line FROM s)"
+
+
+def subhead_lines(t):
+    text = F.replace("text", F.lit(". "), F.concat(F.lit(".\n\nThe Next of "), F.substring("text", 1, 9), F.lit("\n")))
+    at = lines.explode(t("documents").select("doc_id", text.alias("text")), "doc_id")
+    return at.withColumn("line", F.concat(F.repeat(F.lit(" "), (F.col("doc_id") % 3 * 12).cast("int")), "line"))
+
+
+@query(f"""WITH {_SUBHEADS}, n AS (SELECT *, {s_norm('line')} AS x, lead(line) OVER w AS raw, coalesce(lag(line) OVER w, '') AS above, max(length(regexp_replace(line, '{WS}+$', ''))) OVER (PARTITION BY doc_id) - length(regexp_replace(line, '{WS}+$', '')) AS r, length(regexp_extract(line, '^{WS}*')) AS p FROM sl WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), f AS (SELECT *, {s_norm('raw')} AS follow FROM n)
+SELECT doc_id, line_no, coalesce(regexp_matches(x, '^[A-Z]') AND regexp_matches(x, '{headings.LOWER}') AND length(x) <= 60 AND len(string_split(x, ' ')) <= 7 AND NOT regexp_matches(x, '[.,;:?!”")\\]0-9]$') AND {s_all("string_split(x, ' ')", '^[A-Z0-9“"(]', headings.SUBHEAD_SMALL)}
+ AND length(follow) >= 60 AND regexp_matches(follow, '^[A-Z“"(]') AND abs(length(regexp_extract(raw, '^{WS}*')) - p) <= 2 AND NOT regexp_matches(above, '[^ \t\n\r\f\x0B]'), false) AS subhead, p >= 20 AND abs(p - r) * 10 <= (p + r) * 3 AS centred FROM f""")
+def subheads_centred(t):
+    """Short titles set above paragraphs, and lines in the middle of their page."""
+    return headings.centred(headings.short_subheads(subhead_lines(t), "doc_id"), "doc_id").select("doc_id", "line_no", "subhead", "centred")
+
+
+# Blocks of documents: a sentence each, two of three numbered in each stretch, some of them years, a page mark at every seventh.
+_BLOCKS = "bs AS (SELECT doc_id, unnest(generate_series(0, len(a) - 1)) AS i, a FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), '. ') AS a FROM documents)), bl AS (SELECT doc_id, CAST(i AS INTEGER) AS block_no, CASE WHEN i % 7 = 6 THEN 'page' ELSE 'paragraph' END AS kind, CASE WHEN i % 7 = 6 THEN '%%page ' || i || '%%' WHEN i % 23 = 11 THEN '19' || CAST(10 + doc_id % 80 AS VARCHAR) || '. ' || a[i + 1] WHEN (i + doc_id) % 3 > 0 THEN CAST(1 + i // 2 % 40 AS VARCHAR) || '. ' || a[i + 1] || CASE WHEN i % 4 > 0 THEN '.' ELSE '' END ELSE a[i + 1] END AS text FROM bs)"
+
+
+def blocks_of(t):
+    said = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ")
+    i, s = F.col("block_no"), F.col("s")
+    text = F.when(i % 7 == 6, F.concat(F.lit("%%page "), i.cast("string"), F.lit("%%"))).when(i % 23 == 11, F.concat(F.lit("19"), (F.col("doc_id") % 80 + 10).cast("string"), F.lit(". "), s))
+    text = text.when((i + F.col("doc_id")) % 3 > 0, F.concat((F.floor(i / 2) % 40 + 1).cast("string"), F.lit(". "), s, F.when(i % 4 > 0, ".").otherwise(""))).otherwise(s)
+    return t("documents").select("doc_id", F.posexplode(said).alias("block_no", "s")).select("doc_id", "block_no", F.when(i % 7 == 6, "page").otherwise("paragraph").alias("kind"), text.alias("text"))
+
+
+_N = printed.NUMBERED
+_PROSE = f"(NOT regexp_matches(rest, '^[a-z]|;{WS}*$') AND NOT (regexp_matches(rest, ',{WS}*$') AND nw < 20) AND nw >= 8 AND (cut OR regexp_matches(rest, '[.!?\"”’)]{WS}*$') OR nw >= 20))"
+_OPEN_END = f"(len(regexp_extract_all(pt, '\\(')) > len(regexp_extract_all(pt, '\\)')) OR NOT regexp_matches(pt, '[.!?:;\"”’)\\]]{WS}*$'))"
+
+
+@query(f"""WITH {_BLOCKS}, o AS (SELECT *, kind = 'paragraph' AND regexp_matches(text, '{_N}') AS own FROM bl),
+c AS (SELECT *, CASE WHEN own THEN CAST(regexp_extract(text, '{_N}', 1) AS INTEGER) END AS n, CASE WHEN own THEN regexp_extract(text, '{_N}', 2) END AS rest, sum(CASE WHEN own OR kind = 'page' THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS others, lag(kind) OVER w AS pk, lag(text) OVER w AS pt,
+ coalesce(first_value(CASE WHEN kind <> 'page' THEN kind = 'paragraph' AND NOT regexp_matches(text, '{_N}') END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS cut FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+e AS (SELECT *, len(regexp_extract_all(rest, '{NWS}')) AS nw, last_value(n IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ln, last_value(CASE WHEN own THEN others END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+g AS (SELECT *, {_PROSE} AS prose, pk = 'paragraph' AND {_OPEN_END} AS meets, n BETWEEN 1900 AND 2099 AS yr, sum(CASE WHEN own AND NOT coalesce(n > ln AND n <= ln + 4 AND others - lo <= 12 AND NOT (n BETWEEN 1900 AND 2099), false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS run FROM e),
+r AS (SELECT *, count(n) OVER p AS size, sum(CASE WHEN prose THEN 1 ELSE 0 END) OVER p AS np, sum(nw) OVER p AS words FROM g WINDOW p AS (PARTITION BY doc_id, run)),
+j AS (SELECT *, coalesce(own AND size = 1 AND yr AND meets, false) AS joins, coalesce(own AND CASE WHEN size = 1 THEN yr OR (regexp_matches(rest, '^[a-z]') AND meets) OR (prose AND length(rest) >= 100) ELSE words >= size * 10 AND np * 10 >= size * CASE WHEN size >= 10 THEN 4 ELSE 6 END AND NOT (nw < 8 AND NOT regexp_matches(rest, '[.!?:\"”’)]{WS}*$')) END, false) AS printed FROM r),
+x AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS grp FROM j)
+SELECT doc_id, min(block_no) AS block_no, string_agg(text, ' ' ORDER BY block_no) AS text, arg_min(printed, block_no) AND NOT arg_min(joins, block_no) AS printed_number FROM x GROUP BY doc_id, grp""")
+def printed_numbers(t):
+    """Blocks with the numbers that are printed paragraph numbers marked, and years that end a sentence joined to it."""
+    marked = printed.mark_numbers(blocks_of(t), "doc_id", "block_no")
+    return printed.join_marked(marked, "doc_id", "block_no").select("doc_id", "block_no", "text", "printed_number")
+
+
+def s_ends(x: str) -> str:
+    y = f"regexp_replace({x}, '{printed.NOTE_MARKS}', '')"
+    abbreviation = q(T.ABBREVIATION).replace("(?<![A-Za-z0-9_])", headings.NO_WORD)
+    return f"(regexp_matches(regexp_replace({s_strip(y)}, '[\"'')\\]]+$', ''), '[.?!:;]$') AND NOT regexp_matches({y}, '{abbreviation}') AND NOT regexp_matches({y}, '{headings.NO_WORD}[A-Z]\\.$'))"
+
+
+# Blocks about page marks: what stands behind a mark is a quotation in every other document.
+_SPLITS = _BLOCKS + ", sb AS (SELECT doc_id, block_no, CASE WHEN block_no % 7 = 0 AND doc_id % 2 = 0 THEN '> ' || CASE WHEN block_no % 3 = 0 THEN lower(text) ELSE text END ELSE CASE WHEN block_no % 3 = 1 THEN lower(text) ELSE text END END AS text FROM bl)"
+
+
+@query(f"""WITH {_SPLITS}, a AS (SELECT doc_id, block_no, text AS before, lead(text) OVER w AS nx FROM sb WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+z AS (SELECT *, first_value(CASE WHEN NOT regexp_matches(before, '{printed.PAGE_MARK}') THEN struct_pack(a := before, b := nx) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS t FROM a),
+y AS (SELECT doc_id, block_no, before, t.a AS after, t.b AS nxt, substr(t.a, 3) AS said FROM z WHERE regexp_matches(nx, '{printed.PAGE_MARK}') AND NOT regexp_matches(before, '{printed.NO_PROSE}') AND NOT {s_ends('before')})
+SELECT * FROM (SELECT doc_id, block_no, CASE WHEN NOT regexp_matches(after, '{printed.NO_PROSE}') THEN CASE WHEN regexp_matches(after, '{printed.GOES_ON}') THEN 'paragraph' ELSE 'capitalised' END
+ WHEN regexp_matches(after, '^> ') AND NOT regexp_matches(after, '^> -') THEN CASE WHEN regexp_matches(said, '^["“‘''\\[(]') THEN NULL WHEN regexp_matches(said, '{printed.GOES_ON}') THEN 'quote' WHEN NOT {s_ends('said')} AND NOT regexp_matches(nxt, '{printed.NO_PROSE}') AND regexp_matches(nxt, '{printed.GOES_ON}') THEN 'skewQuote' END END AS kind, before, after FROM y) WHERE kind IS NOT NULL""")
+def page_splits(t):
+    """Sentences that stop at a page's mark and go on behind it."""
+    i = F.col("block_no")
+    quoted = F.concat(F.lit("> "), F.when(i % 3 == 0, F.lower("text")).otherwise(F.col("text")))
+    at = blocks_of(t).withColumn("text", F.when((i % 7 == 0) & (F.col("doc_id") % 2 == 0), quoted).otherwise(F.when(i % 3 == 1, F.lower("text")).otherwise(F.col("text"))))
+    return printed.page_splits(at, "doc_id", "block_no")
+
+
+@query()
+def sections_merged(t):
+    """Pages cut at made headings, short sections gathered; a fold in the order of parts, so SQL gives none."""
+    at = t("pages").select("page_id", F.replace(F.replace("html", F.lit("<p>"), F.lit("<h2>Part 2</h2><p>")), F.lit("<br>"), F.lit("<h3>1.2 a</h3>")).alias("html"))
+    return idents.merged_sections(at, "page_id").select("page_id", "section", F.length("body").cast("long").alias("n_chars"))
+
+
+@query()
+def inline_markers(t):
+    """Whole documents with a number behind each sentence; the even ones are known notes. Its contexts look behind and ahead, which the other engine's patterns can't."""
+    text = F.replace("text", F.lit(". "), F.concat(F.lit(". "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" ")))
+    return t("documents").select("doc_id", notes.linked(text, F.array(*map(F.lit, range(0, 10, 2)))).alias("text"))
