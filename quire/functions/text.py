@@ -258,3 +258,23 @@ def tabular_page(t: Column) -> Column:
     shown = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t\n\r\f\x0B]"))
     aligned = F.size(F.filter(shown, lambda x: x.rlike(ALIGNED)))
     return (F.size(shown) >= TABLE_LINES) & (aligned >= TABLE_SHARE * F.size(shown))
+
+
+def without_notes(t: Column) -> Column:
+    """A made text without its section of notes; null for null."""
+    return F.regexp_replace(t, r"(?s)\n## Notes\n.*$", "\n")
+
+
+def without_front(t: Column) -> Column:
+    """A made text without its header; null for null."""
+    return F.regexp_replace(t, r"(?s)^---\r?\n.*?\r?\n---\r?\n?", "")
+
+
+def without_redactions(t: Column) -> Column:
+    """A text with spaces for the labels of redactions; null for null."""
+    return F.regexp_replace(t, r"\[Redacted(?::[^\]]*)?\]", " ")
+
+
+def without_thumb(t: Column) -> Column:
+    """A line with a space for the letter of a thumb index beside a note's number; null for null."""
+    return F.regexp_replace(t, rf"^({SPACE}{{0,2}})[A-L](?={SPACE}{{2,}}[0-9]{{1,4}}(?:{SPACE}*$|{SPACE}{{2,}}[^ \t\n\r\f\x0B]))", "$1 ")

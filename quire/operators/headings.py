@@ -164,3 +164,33 @@ def centred(lines: DataFrame, page: str, line: str = "line") -> DataFrame:
     right = F.max(F.length(F.regexp_replace(F.col(line), f"{S}+$", ""))).over(W.partitionBy(page)) - F.length(F.regexp_replace(F.col(line), f"{S}+$", ""))
     left = T.indent(F.col(line))
     return lines.withColumn("centred", F.coalesce((left >= 20) & (F.abs(left - right) * 10 <= (left + right) * 3), F.lit(False)))
+
+
+# Numbers of divisions in words, and Roman numerals.
+NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+ROMAN = [("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100)]
+
+
+def division_number(kind: Column, token: Column) -> Column:
+    """A division's number however it is set (3, III, Three), a letter for an appendix or annex; null if it is none."""
+    t = F.lower(token)
+    worth = lambda c: F.coalesce(*[F.when(c == r, v) for r, v in ROMAN], F.lit(0))
+    signs = F.filter(F.split(t, ""), lambda c: c != "")
+    roman = F.aggregate(F.transform(signs, lambda c, i: F.when(worth(c) < worth(F.coalesce(F.get(signs, i + 1), F.lit(""))), -worth(c)).otherwise(worth(c))), F.lit(0), lambda a, c: a + c)
+    word = F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), t)
+    plain = F.when(t.rlike("^[0-9]+$"), F.coalesce(F.nullif(F.regexp_replace(t, "^0+", ""), F.lit("")), F.lit("0")))
+    plain = plain.when(F.lower(kind).isin("appendix", "annex") & t.rlike("^[a-z]$"), t)
+    return plain.when(word > 0, word.cast("string")).when(t.rlike("^[ivxlc]+$"), roman.cast("string"))
+
+
+def outline_level(label: Column, title: Column, scanned: bool = False) -> Column:
+    """Level of an outline's label: 2 for a Roman one over capitals, 3 for a letter or number, 4 below; on a scan by the label alone."""
+    roman, letter, number = label.rlike(r"^[IVXLC]+\.$"), label.rlike(r"^[A-Z]\.$"), label.rlike(r"^[0-9]{1,2}\.$")
+    if scanned:
+        return F.when(roman & ~label.rlike(r"^[A-H]\.$"), 2).when(letter, 3).when(number, 4).when(label.isNotNull(), 5)
+    return F.when(roman & ~title.rlike(LOWER), 2).when(letter | number, 3).when(label.isNotNull(), 4)
+
+
+def tolerance(letters: Column) -> Column:
+    """How many letters of a scanned heading may differ from its entry: an eighth, three at least."""
+    return F.greatest(F.lit(3), F.floor(F.length(letters) / 8 + 0.5).cast("int"))

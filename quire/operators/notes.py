@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,7 +85,12 @@ def linked(text: Column, known: Column) -> Column:
     The characters 1 to 3 become spaces. Null for null.
     """
     known = F.coalesce(known.cast("array<int>"), F.array().cast("array<int>"))
-    parts = F.split(F.regexp_replace(F.translate(text, "\x01\x02\x03", "   "), MARKED, "\x01$1\x02$2\x03"), "\x01")
+    return _put(F.regexp_replace(F.translate(text, "\x01\x02\x03", "   "), MARKED, "\x01$1\x02$2\x03"), known)
+
+
+def _put(marked: Column, known: Column) -> Column:
+    """Candidates, marked as 1 gap 2 digits 3, as references where they are known and as they stood elsewhere."""
+    parts = F.split(marked, "\x01")
 
     def one(part: Column, k: Column) -> Column:
         gap, behind = F.substring_index(part, "\x02", 1), F.substring_index(part, "\x02", -1)
@@ -91,3 +99,51 @@ def linked(text: Column, known: Column) -> Column:
         return F.when(k == 0, part).when(is_note, F.concat(F.lit("[^"), digits, F.lit("]"), rest)).otherwise(F.concat(gap, digits, rest))
 
     return F.array_join(F.transform(parts, one), "")
+
+
+# What a number set flush may stand behind, and what may stand behind the number.
+FLUSH = r"((?:[a-zà-ÿ]{3,}[.,;:!?]?|(?<![A-Za-z0-9_])(?:1[89]|20)[0-9][0-9][.,;:])[\"”’')]*)([0-9]{1,4})(?=[ \t\n\r\f\x0B,.;:)\]]|$)"
+
+
+def flush_linked(text: Column, near: Column) -> Column:
+    """A text whose numbers set flush against a word (or a year and its stop) are references [^N] if near, an array of the notes about the page, has them. Null for null."""
+    near = F.coalesce(near.cast("array<int>"), F.array().cast("array<int>"))
+    return _put(F.regexp_replace(F.translate(text, "\x01\x02\x03", "   "), FLUSH, "$1\x01\x02$2\x03"), near)
+
+
+# Closing marks, how far numbers of notes may run ahead, and a candidate.
+_CLOSE = r"[)\"”’'\]]"
+AHEAD = 12
+_NEXT = re.compile(rf"\[\^([0-9]+)\]|(?P<head>{_CLOSE}*[.?!,;:]{_CLOSE}*|{_CLOSE}+)(?P<n>[1-9][0-9]{{0,2}})(?=\s|$)")
+
+
+def sequenced_text(text: str, near: set[int]) -> str:
+    """Numbers set flush against a stop or closing mark as references, where they run on from the last one.
+
+    A number is one if it is in near, above the last and by AHEAD at most; not behind white space, in a
+    heading, or behind a digit unless a sentence follows. A fold, as each decides for the next.
+    """
+    last, at, out = 0, 0, []
+    for m in _NEXT.finditer(text):
+        if m[1]:
+            last = int(m[1])
+            continue
+        n, left = int(m["n"]), text[m.start() - 1 : m.start()]
+        follows = text[m.end() :].lstrip()[:1]
+        within = left in "0123456789" and follows and not re.match(r'[A-Z"“(]', follows)
+        heading = text.startswith("#", text.rfind("\n", 0, max(m.start() - 1, 0) + 1) + 1)
+        if n not in near or not last < n <= last + AHEAD or not left.strip() or within or heading:
+            continue
+        last = n
+        out += [text[at : m.start()], m["head"], f"[^{n}]"]
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
+def sequence_linked(text: Column, near: Column) -> Column:
+    """sequenced_text over rows, in Arrow batches; null for null, a null array has no notes."""
+
+    def each(texts: pd.Series, notes: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else sequenced_text(t, set() if k is None else set(map(int, k))) for t, k in zip(texts, notes, strict=True)], dtype=object)
+
+    return F.pandas_udf(each, "string")(text, near)

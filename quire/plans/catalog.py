@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import align, folios, headings, idents, lines, margins, notes, printed, quality, runs, words
+from quire.operators import align, breaks, folios, headings, idents, lines, margins, notes, printed, quality, runs, words
 from quire.sources import entities, html
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -799,3 +799,52 @@ def inline_markers(t):
     """Whole documents with a number behind each sentence; the even ones are known notes. Its contexts look behind and ahead, which the other engine's patterns can't."""
     text = F.replace("text", F.lit(". "), F.concat(F.lit(". "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" ")))
     return t("documents").select("doc_id", notes.linked(text, F.array(*map(F.lit, range(0, 10, 2)))).alias("text"))
+
+
+_LABEL, _BARE = breaks.LABEL.replace("'", "''"), breaks.BARE
+_ENDED = r"(regexp_matches(x, '[.?!:;][\"''”’)\]]*$') AND NOT regexp_matches(x, '" + q(T.ABBREVIATION).replace("(?<![A-Za-z0-9_])", headings.NO_WORD) + "') AND NOT regexp_matches(x, '" + headings.NO_WORD + r"[A-Z]\.$'))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {s_strip("split_part(text, chr(10), 1)")} AS p0, {s_strip("CASE WHEN doc_id % 5 = 0 THEN lower(split_part(text, chr(10), 2)) WHEN doc_id % 19 = 0 THEN '(b) ' || split_part(text, chr(10), 2) ELSE split_part(text, chr(10), 2) END")} AS nx, doc_id % 11 = 0 AS label, CASE WHEN doc_id % 22 = 0 THEN '19 of them' ELSE split_part(text, chr(10), 2) END AS line,
+ CASE WHEN doc_id % 13 > 0 THEN floor((doc_id % 9 * 4 - 8) / 10.0 * 100 + 0.5) / 100 END AS em, abs(doc_id % 7) AS gap, doc_id % 17 > 0 AS face, doc_id % 2 = 0 AS even, doc_id % 3 > 0 AS runs FROM documents),
+c AS (SELECT *, regexp_replace(CASE WHEN doc_id % 4 > 0 THEN regexp_replace(p0, '[.]+$', '') ELSE p0 END, '{q(breaks.NOTED)}', '\\1') AS x FROM d),
+e AS (SELECT *, {_ENDED} AS ended, coalesce(abs(em) < 0.6, false) AS flush, coalesce(abs(abs(em) - 0.6) < 0.25, false) AS near, regexp_matches(nx || ' ', '{_LABEL}') AS l0 FROM c), g AS (SELECT *, label AND regexp_matches({s_strip('line')}, '{_BARE}') AND NOT ended AS bare FROM e),
+k AS (SELECT *, CASE WHEN l0 THEN 'split high' WHEN label AND NOT bare THEN CASE WHEN ended THEN 'split high' ELSE 'split medium' END WHEN NOT face THEN 'split high'
+ WHEN ended THEN CASE WHEN even AND gap < 0.5 AND flush AND len(regexp_extract_all(line, '{NWS}')) > 4 THEN 'R2 low' WHEN flush THEN 'split medium' ELSE 'split high' END
+ WHEN flush AND gap >= 5 THEN 'split low' WHEN flush THEN CASE WHEN near OR NOT runs THEN 'R1 low' ELSE 'R1 high' END WHEN regexp_matches(nx, '^[a-z,;]') THEN 'R1 high' WHEN em IS NULL OR near THEN 'split low' ELSE 'split high' END AS k FROM g)
+SELECT doc_id, split_part(k, ' ', 1) <> 'split' AS joins, split_part(k, ' ', 1) AS rule, CASE WHEN bare AND NOT l0 AND split_part(k, ' ', 2) = 'high' THEN 'medium' ELSE split_part(k, ' ', 2) END AS confidence, CASE WHEN NOT l0 AND NOT (label AND NOT bare) AND face THEN em END AS indent_em FROM k""")
+def page_break_decisions(t):
+    """First and second lines of documents as the blocks about a page's break, in places and faces made of their ids."""
+    i, two = F.col("doc_id"), F.coalesce(F.get(F.split("text", "\n"), 1), F.lit(""))
+    one = T.stripped(F.get(F.split("text", "\n"), 0))
+    before = F.when(i % 4 > 0, F.regexp_replace(one, "[.]+$", "")).otherwise(one)
+    after = F.when(i % 5 == 0, F.lower(two)).when(i % 19 == 0, F.concat(F.lit("(b) "), two)).otherwise(two)
+    face = lambda size, left, gap, label, text: F.struct(F.lit("a").alias("family"), F.lit("k").alias("color"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), size.alias("size"), left.alias("left"), gap.cast("double").alias("right_gap"), label.alias("label"), text.alias("text"))
+    above = face(F.when(i % 17 == 0, 12.0).otherwise(10.0), F.lit(0), i % 7, F.lit(False), before)
+    below = face(F.lit(10.0), i % 9 * 4, F.lit(0), i % 11 == 0, F.when(i % 22 == 0, "19 of them").otherwise(two))
+    d = breaks.decide(before, after, above, below, F.when(i % 13 > 0, 8), i % 3 > 0, i % 2 == 0)
+    return t("documents").withColumn("d", d).select("doc_id", F.col("d.join").alias("joins"), "d.rule", "d.confidence", "d.indent_em")
+
+
+_TOKENS = "CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN upper(substr('ivxlc', CAST(1 + doc_id % 3 AS INTEGER), 2)) WHEN 2 THEN 'Seven' WHEN 3 THEN 'c' ELSE lang END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, text, lower({_TOKENS}) AS tk, CASE WHEN doc_id % 2 = 0 THEN 'Appendix' ELSE 'Part' END AS kind, {_TOKENS} || '.' AS label, split_part(text, chr(10), 1) AS title FROM documents),
+r AS (SELECT *, list_transform(list_filter(string_split(tk, ''), lambda c: c <> ''), lambda c: CASE c WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 ELSE 0 END) AS v FROM x)
+SELECT doc_id, CASE WHEN regexp_matches(tk, '^[0-9]+$') THEN CAST(CAST(tk AS BIGINT) AS VARCHAR) WHEN kind = 'Appendix' AND regexp_matches(tk, '^[a-z]$') THEN tk WHEN tk = 'seven' THEN '7' WHEN regexp_matches(tk, '^[ivxlc]+$') THEN CAST(CAST(list_sum(list_transform(v, lambda c, i: CASE WHEN c < coalesce(v[i + 1], 0) THEN -c ELSE c END)) AS BIGINT) AS VARCHAR) END AS number,
+ CASE WHEN regexp_matches(label, '^[IVXLC]+\\.$') AND NOT regexp_matches(title, '{headings.LOWER}') THEN 2 WHEN regexp_matches(label, '^(?:[A-Z]|[0-9]{{1,2}})\\.$') THEN 3 ELSE 4 END AS level,
+ CASE WHEN regexp_matches(label, '^[IVXLC]+\\.$') AND NOT regexp_matches(label, '^[A-H]\\.$') THEN 2 WHEN regexp_matches(label, '^[A-Z]\\.$') THEN 3 WHEN regexp_matches(label, '^[0-9]{{1,2}}\\.$') THEN 4 ELSE 5 END AS scanned, greatest(3, CAST(floor(length(title) / 8.0 + 0.5) AS INTEGER)) AS tolerance FROM r""")
+def division_labels(t):
+    """Numbers and levels of divisions whose labels are made of ids and languages."""
+    i = F.col("doc_id")
+    token = F.when(i % 5 == 0, i.cast("string")).when(i % 5 == 1, F.upper(F.substring(F.lit("ivxlc"), i.cast("int") % 3 + 1, F.lit(2)))).when(i % 5 == 2, "Seven").when(i % 5 == 3, "c").otherwise(F.col("lang"))
+    title, label = F.get(F.split("text", "\n"), 0), F.concat(token, F.lit("."))
+    return t("documents").select("doc_id", headings.division_number(F.when(i % 2 == 0, "Appendix").otherwise("Part"), token).alias("number"), headings.outline_level(label, title).alias("level"), headings.outline_level(label, title, scanned=True).alias("scanned"), headings.tolerance(title).alias("tolerance"))
+
+
+@query()
+def flush_markers(t):
+    """Whole documents with a number set flush behind each sentence, linked by the notes about it and then in sequence: a fold, so SQL gives none."""
+    text = F.replace("text", F.lit(". "), F.concat(F.lit("."), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" ")))
+    near = F.array(*map(F.lit, range(2, 8, 2)))
+    return t("documents").select("doc_id", notes.flush_linked(text, near).alias("flush"), notes.sequence_linked(text, near).alias("sequenced"))
