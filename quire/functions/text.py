@@ -278,3 +278,16 @@ def without_redactions(t: Column) -> Column:
 def without_thumb(t: Column) -> Column:
     """A line with a space for the letter of a thumb index beside a note's number; null for null."""
     return F.regexp_replace(t, rf"^({SPACE}{{0,2}})[A-L](?={SPACE}{{2,}}[0-9]{{1,4}}(?:{SPACE}*$|{SPACE}{{2,}}[^ \t\n\r\f\x0B]))", "$1 ")
+
+
+def source_pieces(t: Column) -> Column:
+    """Words of a source cut at their punctuation, and after each word that a line's end parted (a dash behind, an apostrophe ahead, an address cut at its punctuation) what it makes with the next. Null for null."""
+    raw = chunks(F.lower(F.regexp_replace(t, r"\[\^\d+(-\d+)?\]:?", " ")))
+
+    def each(w: Column, ahead: Column) -> Column:
+        cut = w.rlike("[-\u2013\u2014\u00ad]$") | ahead.rlike("^[\u2019']") | (w.rlike(r"https?:|www\.|/") & w.rlike("[/._=?&%#]$"))
+        whole = F.when(ahead.isNotNull() & cut, F.regexp_replace(F.concat(w, ahead), "[^a-z0-9]", ""))
+        return F.concat(F.split(w, "[^a-z0-9]+"), F.array(F.coalesce(whole, F.lit(""))))
+
+    behind = F.slice(raw, 2, F.greatest(F.size(raw), F.lit(0)))  # beside it, as an index into the array would read the text anew for each word
+    return F.filter(F.flatten(F.zip_with(raw, behind, each)), lambda w: w != "")

@@ -31,8 +31,8 @@ def orphans(defs: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def occurrences_of(text: Column, find: Column) -> Column:
-    """How often find stands in text, without overlap."""
-    return ((F.length(text) - F.length(F.replace(text, find, F.lit("")))) / F.length(find)).cast("long")
+    """How often find stands in text, without overlap; an empty find nowhere, null for null."""
+    return F.when(F.length(find) == 0, 0).otherwise((F.length(text) - F.length(F.replace(text, find, F.lit("")))) / F.nullif(F.length(find), F.lit(0))).cast("long")
 
 
 def corrections(blocks: DataFrame, fixes: DataFrame, volume: str, printed: str, text: str = "text") -> DataFrame:

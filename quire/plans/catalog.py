@@ -848,3 +848,17 @@ def flush_markers(t):
     text = F.replace("text", F.lit(". "), F.concat(F.lit("."), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" ")))
     near = F.array(*map(F.lit, range(2, 8, 2)))
     return t("documents").select("doc_id", notes.flush_linked(text, near).alias("flush"), notes.sequence_linked(text, near).alias("sequenced"))
+
+
+_CUT = "replace(replace(text, 'en ', 'en- '), 'e ', 'e www./ ')"
+_RAW = f"regexp_extract_all(lower(regexp_replace({_CUT}, '\\[\\^\\d+(-\\d+)?\\]:?', ' ', 'g')), '{NWS}')"
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_RAW} AS raw FROM documents),
+p AS (SELECT doc_id, list_filter(flatten(list_transform(raw, lambda w, i: list_append(regexp_split_to_array(w, '[^a-z0-9]+'), CASE WHEN i < len(raw) AND (regexp_matches(w, '[-–—­]$') OR regexp_matches(raw[i + 1], '^[’'']') OR (regexp_matches(w, 'https?:|www\\.|/') AND regexp_matches(w, '[/._=?&%#]$'))) THEN regexp_replace(w || raw[i + 1], '[^a-z0-9]', '', 'g') ELSE '' END))), lambda w: w <> '') AS pieces FROM r)
+SELECT doc_id, CAST(len(pieces) AS BIGINT) AS n_pieces, array_to_string(pieces, ' ') AS pieces FROM p""")
+def source_pieces(t):
+    """Pieces of whole documents in which some words are parted by a hyphen and some stand before an address."""
+    cut = F.replace(F.replace("text", F.lit("en "), F.lit("en- ")), F.lit("e "), F.lit("e www./ "))
+    pieces = T.source_pieces(cut)
+    return t("documents").select("doc_id", F.size(pieces).cast("long").alias("n_pieces"), F.array_join(pieces, " ").alias("pieces"))

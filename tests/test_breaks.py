@@ -110,3 +110,14 @@ def test_tokens(spark):
         assert [r.t for r in got] == [hmac.new(secret.encode(), r.i.encode(), hashlib.sha256).hexdigest() if r.i else None for r in got]
         assert [r.ok for r in got] == [True, False, False]
     assert [r[0] for r in df.select(idents.authorised(None, F.col("i"), F.lit("x"))).collect()] == [False] * 3
+
+
+def test_source_pieces(spark):
+    df = spark.createDataFrame([(0, "re- joined word-play Don \u2019t"), (1, "see www.a.org/ page.[^3]"), (2, ""), (3, None)], "i int, t string")
+    got = [r.p for r in df.select("i", T.source_pieces(F.col("t")).alias("p")).orderBy("i").collect()]
+    assert got == [["re", "rejoined", "joined", "word", "play", "don", "dont", "t"], ["see", "www", "a", "org", "wwwaorgpage", "page"], [], None]
+
+
+def test_empty_corrections_match_nowhere(spark):
+    df = spark.createDataFrame([("aaa", ""), ("aaa", "a"), ("aaa", None), (None, "a")], "t string, f string")
+    assert [r.n for r in df.select(notes.occurrences_of(F.col("t"), F.col("f")).alias("n")).collect()] == [0, 3, None, None]
